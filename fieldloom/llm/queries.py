@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, capfilters, chat, mixing, packing, simhash
+from . import balltree, capfilters, chat, mixing, packing, secrets, simhash
 from .common import table
 
 TOPK_EVERY = 50
@@ -34,6 +34,10 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
 
+def op2_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_cap_filter_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -99,6 +103,7 @@ def op9_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree_top_k": op1_ball_tree_top_k,
+    "op2_trigram_secrets": op2_trigram_secrets,
     "op5_cap_filter_near_duplicates": op5_cap_filter_near_duplicates,
     "op6_pareto_mix": op6_pareto_mix,
     "op8_length_buckets": op8_length_buckets,
