@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, capfilters, chat, mixing, packing, secrets, simhash
+from . import balltree, capfilters, chat, mixing, packing, quality, secrets, simhash
 from .common import table
 
 TOPK_EVERY = 50
@@ -38,6 +38,10 @@ def op2_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_cap_filter_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -104,6 +108,7 @@ def op9_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree_top_k": op1_ball_tree_top_k,
     "op2_trigram_secrets": op2_trigram_secrets,
+    "op3_additive_quality": op3_additive_quality,
     "op5_cap_filter_near_duplicates": op5_cap_filter_near_duplicates,
     "op6_pareto_mix": op6_pareto_mix,
     "op8_length_buckets": op8_length_buckets,
