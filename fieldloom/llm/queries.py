@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, capfilters, chat, mixing, packing, quality, secrets, simhash
+from . import balltree, capfilters, chat, mixing, packing, pii, quality, secrets, simhash
 from .common import table
 
 TOPK_EVERY = 50
@@ -72,6 +72,10 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_additive_quality": op3_additive_quality,
     "op5_cap_filter_near_duplicates": op5_cap_filter_near_duplicates,
     "op6_pareto_mix": op6_pareto_mix,
+    "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_length_buckets": op8_length_buckets,
     "op9_simhash_anchor_points": op9_simhash_anchor_points,
     "op10_template_chat": op10_template_chat,
