@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, capfilters, chat, mixing, packing, pii, quality, secrets, simhash
+from . import balltree, capfilters, chat, mixing, packing, pii, quality, secrets, simhash, substrings
 from .common import table
 
 TOPK_EVERY = 50
@@ -42,6 +42,10 @@ def op3_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_cap_filter_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree_top_k": op1_ball_tree_top_k,
     "op2_trigram_secrets": op2_trigram_secrets,
     "op3_additive_quality": op3_additive_quality,
+    "op4_prefix_free_dedup": op4_prefix_free_dedup,
     "op5_cap_filter_near_duplicates": op5_cap_filter_near_duplicates,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_bootstrapped_pii": op7_bootstrapped_pii,
