@@ -110,7 +110,7 @@ FROM m GROUP BY conv_id
 
 
 def op9_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "check")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

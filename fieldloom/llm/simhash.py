@@ -49,15 +49,21 @@ def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42, step: i
     return int(bits.view("<i8")[0])
 
 
+def _keys() -> list[Column]:
+    """Two digests of a row's id and text, never null: together they tell rows apart."""
+    return [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check")]
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (long, its bits are the fingerprint's), one row per document."""
+    """doc_id, key, check, fp (long, its bits are the fingerprint's), one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [fingerprint(x, words_per_shingle, seed) for x in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(x, words_per_shingle, seed) for x in byte_texts(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["doc_id", "key", "check", "fp"])
 
-    return columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
+    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(), "text")
+    return rows.mapInArrow(run, "doc_id long, key long, check long, fp long")
 
 
 def patterns(spark: SparkSession) -> DataFrame:
@@ -100,21 +106,32 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, kept, one row per row of docs.
+    """doc_id, fingerprint (16 hex digits), component_id, kept, key, check, one row per row of docs.
 
     docs: doc_id, text; other columns don't matter. Null texts count as empty; texts without words
     have fingerprint zero and link like any other. Rows with one fingerprint are one class, whatever
     its size. A document without an id takes part and gets its component's id, null if no member has
-    one. kept: the document is its component's least id. No rows in, no rows out.
+    one. kept: the document is its component's first, by id (null last), then by a digest; rows that
+    repeat it wholly are marked too. No rows in, no rows out.
     """
     spark = docs.sparkSession
     prints = cut(fingerprints(docs, words_per_shingle, seed))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "check")
+    classes = cut(prints.groupBy("fp").agg(F.min(first).alias("first")))
     spread = classes.select("fp").repartition(max(parallelism(spark), 2 * spark.sparkContext.defaultParallelism))
     roots = components(local_forests(links(spread)))
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = cut(joined)
-    ids = cut(joined.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    of_class = cut(joined.join(ids, "root").select("fp", "component_id"))
+    firsts = cut(joined.groupBy("root").agg(F.min("first").alias("first")))
+    of_class = cut(joined.select("fp", "root").join(firsts, "root").select("fp", "first"))
     out = prints.join(of_class, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = (F.col("key") == F.col("first.key")) & (F.col("check") == F.col("first.check"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), kept.alias("kept"), "key", "check")
+
+
+def representatives(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
+    """One row of docs, with all its columns, for each group of near-duplicates."""
+    kept = near_duplicates(docs, words_per_shingle, seed).where("kept").select("key", "check").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    rows = rows.select("row", *_keys())
+    return rows.join(cut(kept), ["key", "check"], "left_semi").dropDuplicates(["key", "check"]).select("row.*")
