@@ -1,0 +1 @@
+"""Analytics for gridded space-time fields on Spark."""

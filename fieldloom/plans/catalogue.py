@@ -1,10 +1,515 @@
-"""Every query of the engine by name, with its SQL where SQL can express it."""
+"""Every query of the engine by name, with its SQL where SQL can express it.
+
+All queries run over whole tables. Grids come from the benchmark tables: vectors as cells with 64
+times (their label is the initial cluster), suppliers as cells with monthly mean discounts, nations as
+a coarse grid round the globe.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.distances import residual
+from ..lineage import cut
+from ..operators import agglomeration, centroids, gradients, graph, lowrank, masks, modes, pairs, regrid, smoothing, stencil
+from ..sources import fields, sinks
+from . import refine
+from .oracles import ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: The embedding grid has 25 columns, two degrees apart from -79 and -24.
+COLUMNS, LAT0, LON0, STEP = 25, -79.0, -24.0, 2.0
+#: Of the loops in this catalogue: dimensions, clusters, and iterations (the operators' own caps are 49 and 100).
+M, K, ITERATIONS = 5, 10, 4
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return fields.embedding_cells(spark, d)
+
+
+def _labels(cells: DataFrame) -> DataFrame:
+    return cells.select("cell_id", "cluster_id")
+
+
+def _supplier_places(spark: SparkSession, field: DataFrame) -> DataFrame:
+    """All places of the suppliers' grid: whole rows, with data or not."""
+    rows = field.select("lat_idx").distinct()
+    return rows.select("lat_idx", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("lon_idx")).select("lat_idx", "lon_idx", (F.lit(-75.0) + 1.5 * F.col("lat_idx")).alias("latitude"), (F.lit(-9.0) + 2.0 * F.col("lon_idx")).alias("longitude"))
+
+
+def _places(cells: DataFrame) -> DataFrame:
+    return cells.select("lat_idx", "lon_idx", "latitude", "longitude")
+
+
+# --- masks, scalar transforms, windows -----------------------------------------------------------
+
+
+@query
+def valid_cells(spark: SparkSession, d: str) -> DataFrame:
+    return masks.valid_cells(fields.lineitem_field(spark, d)).select("cell_id", "lat_idx", "lon_idx")
+
+
+@query
+def any_valid_cells(spark: SparkSession, d: str) -> DataFrame:
+    return masks.any_valid_cells(fields.event_field(spark, d)).select("cell_id", "n_values")
+
+
+@query
+def gaps_by_time(spark: SparkSession, d: str) -> DataFrame:
+    return masks.gaps_by_time(fields.event_field(spark, d))
+
+
+@query
+def restored_gaps(spark: SparkSession, d: str) -> DataFrame:
+    field = fields.lineitem_field(spark, d)
+    filled = field.withColumn("sla", F.coalesce("sla", F.lit(0.0)))
+    return masks.restore_gaps(filled, field).select("cell_id", "t", r6("sla").alias("sla"))
+
+
+@query
+def lon_normalise(spark: SparkSession, d: str) -> DataFrame:
+    cells = fields.embedding_cells(spark, d, full_circle=True)
+    return cells.select("cell_id", r6(geo.normalise_longitude(F.col("longitude") * 3)).alias("longitude"), r6(geo.shift_longitude(F.col("longitude"))).alias("shifted"))
+
+
+@query
+def index_to_coord(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d).select("cell_id", geo.index_to_coord(F.col("lat_idx"), LAT0, STEP).alias("latitude"), geo.index_to_coord(F.col("lon_idx"), LON0, STEP).alias("longitude"))
+
+
+@query
+def coord_to_index(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda c, o: geo.coord_to_index(F.col(c), o, STEP)
+    return _cells(spark, d).select("cell_id", at("latitude", LAT0).alias("lat_idx"), at("longitude", LON0).alias("lon_idx"))
+
+
+@query
+def coslat_weight(spark: SparkSession, d: str) -> DataFrame:
+    return fields.lineitem_field(spark, d).where("sla is not null").select("cell_id", "t", r6(geo.cos_weighted(F.col("sla"), F.col("latitude"))).alias("sla"))
+
+
+@query
+def decimal_year(spark: SparkSession, d: str) -> DataFrame:
+    years = fields.nation_years(spark, d).withColumn("decimal_year", F.col("year") + (F.length("station") % 4) / 4.0)
+    return years.select("station", "year", F.round(F.unix_micros(geo.decimal_year_to_timestamp(F.col("decimal_year"))) / 1e6).cast("long").alias("seconds"))
+
+
+@query
+def demean_series(spark: SparkSession, d: str) -> DataFrame:
+    return masks.demeaned(fields.nation_years(spark, d), "station", "value").select("station", "year", F.round("value", 4).alias("value"))
+
+
+@query
+def rolling_mean_15(spark: SparkSession, d: str) -> DataFrame:
+    return smoothing.rolling_mean(fields.lineitem_field(spark, d)).select("cell_id", "t", r6("sla").alias("sla"))
+
+
+@query
+def gradient_time(spark: SparkSession, d: str) -> DataFrame:
+    return gradients.time_gradient(masks.to_field(_cells(spark, d))).select("cell_id", "t", r6("g_time").alias("g_time"))
+
+
+@query
+def gradient_magnitude(spark: SparkSession, d: str) -> DataFrame:
+    return gradients.mean_magnitude(masks.to_field(_cells(spark, d))).select("cell_id", r6("magnitude").alias("magnitude"))
+
+
+@query
+def gradient_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = gradients.summary(gradients.mean_magnitude(masks.to_field(_cells(spark, d))))
+    return found.select(r6("mean").alias("mean"), r6("median").alias("median"), "n")
+
+
+@query
+def time_slice(spark: SparkSession, d: str) -> DataFrame:
+    return fields.lineitem_field(spark, d).where("t = 0").select("cell_id", r6("sla").alias("sla"))
+
+
+@query
+def field_union(spark: SparkSession, d: str) -> DataFrame:
+    """Several files of a field as one, values at any time once."""
+    field = fields.lineitem_field(spark, d)
+    early, late = field.where("t < 40"), field.where("t >= 40")
+    return early.unionByName(late).groupBy("t").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("sla")).alias("mean"))
+
+
+# --- pairs ------------------------------------------------------------------------------------------
+
+
+@query
+def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.all_pairs(fields.nation_cells(spark, d), "haversine").select("i", "j", F.round("d", 4).alias("d"))
+
+
+@query
+def euclid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.all_pairs(_cells(spark, d), "euclidean").select("i", "j", r6("d").alias("d"))
+
+
+@query
+def abs_sum_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.all_pairs(_cells(spark, d), "abs_sum").select("i", "j", r6("d").alias("d"))
+
+
+@query
+def spatiotemporal_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.all_pairs(_cells(spark, d), "spatiotemporal").select("i", "j", r6("d").alias("d"))
+
+
+@query
+def pair_rms(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.station_rms(fields.nation_years(spark, d)).select("a", "b", "n", F.round("rms", 4).alias("rms"))
+
+
+@query
+def common_years(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.common_times(fields.nation_years(spark, d))
+
+
+# --- neighbours, filters, grids --------------------------------------------------------------------
+
+
+@query
+def neighbours_8_wrap(spark: SparkSession, d: str) -> DataFrame:
+    return stencil.neighbours(_cells(spark, d), n_lon=COLUMNS)
+
+
+@query
+def neighbours_8_nowrap(spark: SparkSession, d: str) -> DataFrame:
+    return stencil.neighbours(_cells(spark, d))
+
+
+@query
+def neighbours_4(spark: SparkSession, d: str) -> DataFrame:
+    return stencil.neighbours(_cells(spark, d), stencil.FOUR)
+
+
+@query
+def seam_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours across columns without data at the edge of the grid."""
+    cells = masks.any_valid_cells(fields.lineitem_field(spark, d)).where("lon_idx > 0")
+    return stencil.neighbours(cells, n_lon=10, seam=True)
+
+
+@query
+def grid_extrema(spark: SparkSession, d: str) -> DataFrame:
+    return masks.grid_extrema(masks.valid_cells(fields.lineitem_field(spark, d)))
+
+
+@query
+def edge_distances(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return pairs.edge_distances(stencil.neighbours(cells, n_lon=COLUMNS), cells, "euclidean").select("src", "dst", r6("d").alias("d"))
+
+
+@query
+def edge_distances_spatiotemporal(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return pairs.edge_distances(stencil.neighbours(cells), cells, "spatiotemporal").select("src", "dst", r6("d").alias("d"))
+
+
+@query
+def radius_join(spark: SparkSession, d: str) -> DataFrame:
+    """All places in reach of a cell, with normalised weights."""
+    cells = _cells(spark, d)
+    places = _places(cells)
+    reach = stencil.in_reach(cells, stencil.radius_stencil(places, 200.0, COLUMNS, False), places, COLUMNS, False)
+    return reach.select("cell_id", "to_lat", "to_lon", r6("w").alias("w"))
+
+
+@query
+def gauss_smooth(spark: SparkSession, d: str) -> DataFrame:
+    field = fields.lineitem_field(spark, d)
+    return smoothing.gauss_smooth(field, _supplier_places(spark, field), 200.0, 10, digits=None).select("cell_id", "t", r6("sla").alias("sla"))
+
+
+@query
+def label_smooth(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return smoothing.smooth_labels(_labels(cells), cells, _places(cells), 200.0, COLUMNS)
+
+
+@query
+def bilinear_coarsen(spark: SparkSession, d: str) -> DataFrame:
+    return regrid.bilinear(masks.to_field(_cells(spark, d)), 5, LAT0, LON0, STEP).where("sla is not null").select("latitude", "longitude", "t", r6("sla").alias("sla"))
+
+
+@query
+def nearest_regrid(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the embedding grid at the suppliers' places that have no gaps."""
+    return regrid.nearest_valid_labels(_cells(spark, d).select("lat_idx", "lon_idx", "cluster_id"), fields.lineitem_field(spark, d), LAT0, LON0, STEP)
+
+
+@query
+def label_raster(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return masks.raster(cells.select("cell_id", "lat_idx", "lon_idx"), masks.masked_labels(_labels(cells), cells.where("cluster_id % 2 = 0")))
+
+
+# --- components -------------------------------------------------------------------------------------
+
+
+def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cells = _cells(spark, d)
+    edges = stencil.neighbours(cells, n_lon=COLUMNS)
+    return cells, edges, graph.components(_labels(cells), edges)
+
+
+@query
+def same_cluster_edges(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return graph.same_cluster_edges(stencil.neighbours(cells, n_lon=COLUMNS), _labels(cells))
+
+
+@query
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return _components(spark, d)[2]
+
+
+@query
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.component_sizes(_components(spark, d)[2])
+
+
+@query
+def smallest_component(spark: SparkSession, d: str) -> DataFrame:
+    return graph.smallest_component(_components(spark, d)[2])
+
+
+@query
+def component_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    _, edges, comps = _components(spark, d)
+    return graph.component_adjacency(comps, edges)
+
+
+@query
+def component_centres(spark: SparkSession, d: str) -> DataFrame:
+    cells, _, comps = _components(spark, d)
+    return graph.component_centres(comps, cells)
+
+
+@query
+def neighbouring_clusters(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    near = graph.neighbouring_clusters(_labels(cells), stencil.neighbours(cells, stencil.FOUR))
+    return near.select("cell_id", F.array_join("clusters", ",").alias("clusters"))
+
+
+@query
+def dense_cluster_ids(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.dense_ids(_labels(_cells(spark, d)).where("cluster_id % 3 <> 1"))
+
+
+@query
+def empty_cluster_ids(spark: SparkSession, d: str) -> DataFrame:
+    return graph.empty_clusters(_labels(_cells(spark, d)), 25)
+
+
+@query
+def small_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return masks.small_clusters(_labels(_cells(spark, d)), 50)
+
+
+# --- centroids, subspaces on unit axes -----------------------------------------------------------
+
+
+@query
+def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.centroids(_cells(spark, d)).select("cluster_id", "pos", r6("mean").alias("mean"), "n")
+
+
+@query
+def kmeans_objective(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.objective(_cells(spark, d)).select("cluster_id", "n", r6("objective").alias("objective"))
+
+
+@query
+def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest of ten given centres, the series of the first ten cells."""
+    cells = _cells(spark, d)
+    first = cells.orderBy("cell_id").limit(K).select("cell_id", F.col("x").alias("centre")).withColumn("cluster_id", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("int"))
+    total = F.aggregate(F.zip_with("x", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    near = cells.select("cell_id", "x").join(F.broadcast(first.select("cluster_id", "centre"))).select("cell_id", "cluster_id", total.alias("d"))
+    best = near.groupBy("cell_id").agg(F.min(F.struct("d", "cluster_id")).alias("x"))
+    return best.select("cell_id", F.col("x.cluster_id").alias("cluster_id"), r6("x.d").alias("d"))
+
+
+def _axis_subspaces(cells: DataFrame) -> DataFrame:
+    """cluster_id, mean, basis: through the cluster's centroid along unit axes c .. c + M - 1."""
+    means = centroids.centroids(cells).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("m"))
+    means = means.select("cluster_id", F.transform("m", lambda p: p["mean"]).alias("mean"))
+    axis = lambda k: F.transform(F.sequence(F.lit(0), F.size("mean") - 1), lambda p: F.when(p == F.col("cluster_id") + k, 1.0).otherwise(0.0))
+    return means.withColumn("basis", F.array(*[axis(k) for k in range(M)]))
+
+
+def _axis_distances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cells = _cells(spark, d)
+    spaces = F.broadcast(_axis_subspaces(cells).withColumnRenamed("cluster_id", "c"))
+    return cells, cells.select("cell_id", "cluster_id", "x").join(spaces).select("cell_id", "cluster_id", "c", residual(F.col("x"), F.col("mean"), F.col("basis")).alias("d"))
+
+
+@query
+def residual_to_axis_subspace(spark: SparkSession, d: str) -> DataFrame:
+    return _axis_distances(spark, d)[1].select("cell_id", F.col("c").alias("cluster_id"), r6("d").alias("d"))
+
+
+@query
+def assign_axis_subspace(spark: SparkSession, d: str) -> DataFrame:
+    best = _axis_distances(spark, d)[1].groupBy("cell_id").agg(F.min(F.struct("d", "c")).alias("x"))
+    return best.select("cell_id", F.col("x.c").alias("cluster_id"), r6("x.d").alias("d"))
+
+
+@query
+def boundary_step(spark: SparkSession, d: str) -> DataFrame:
+    """One synchronous step of boundary moves towards subspaces on unit axes."""
+    cells, dist = _axis_distances(spark, d)
+    near = graph.neighbouring_clusters(_labels(cells), stencil.neighbours(cells, stencil.FOUR))
+    open_ = dist.join(near, "cell_id", "left").where((F.col("c") == F.col("cluster_id")) | F.array_contains(F.coalesce("clusters", F.array().cast("array<int>")), F.col("c")))
+    best = open_.groupBy("cell_id").agg(F.min(F.struct("d", (F.col("c") != F.col("cluster_id")).alias("moves"), "c")).alias("x"))
+    return best.select("cell_id", F.col("x.c").alias("cluster_id"))
+
+
+@query
+def total_variance(spark: SparkSession, d: str) -> DataFrame:
+    spaces = lowrank.fit(_cells(spark, d), M)
+    return spaces.select("cluster_id", "n", r6("total_ss").alias("total_ss"))
+
+
+# --- subspaces, modes, clusterings and loops: no SQL ------------------------------------------------
+
+
+@query
+def cluster_subspaces(spark: SparkSession, d: str) -> DataFrame:
+    return lowrank.fit(_cells(spark, d), M).select("cluster_id", "n", r6("explained").alias("explained"), r6("total_ss").alias("total_ss"), r6("residual_ss").alias("residual_ss"))
+
+
+@query
+def subspace_cost(spark: SparkSession, d: str) -> DataFrame:
+    found = lowrank.costs(_cells(spark, d), [5, 10, 15, 30])
+    return found.select("m", r6("cost").alias("cost"), "n_unfitted")
+
+
+@query
+def explained_variance(spark: SparkSession, d: str) -> DataFrame:
+    return lowrank.explained_by(_cells(spark, d), [1, 2, 5, 10, 20, 30, 40, 50]).select("components", r6("explained").alias("explained"))
+
+
+@query
+def subspace_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Fit a subspace to every cluster, assign every cell to the nearest, and sum the costs up."""
+    cells = _cells(spark, d)
+    found = lowrank.assign(cells, lowrank.Subspaces(lowrank.fit(cells, M)))
+    return found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d")).alias("cost"))
+
+
+def _grid(spark: SparkSession, d: str) -> tuple[refine.Grid, DataFrame]:
+    cells = cut(_cells(spark, d))
+    grid = refine.Grid(cells, cut(stencil.neighbours(cells, n_lon=COLUMNS)), cut(stencil.neighbours(cells, stencil.FOUR)), cut(_places(cells)), COLUMNS)
+    return grid, _labels(cells)
+
+
+@query
+def reconnected(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.reconnect import reconnect
+
+    grid, labels = _grid(spark, d)
+    return reconnect(grid.series, labels, grid.edges, refine.fitted(grid, labels, M), K)
+
+
+@query
+def upgma_labels(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(_cells(spark, d))
+    return agglomeration.upgma(pairs.all_pairs(cells, "spatiotemporal"), cells, [8, 15, 25])
+
+
+@query
+def constrained_agglo_labels(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(_cells(spark, d))
+    return agglomeration.constrained(pairs.edge_distances(stencil.neighbours(cells, n_lon=COLUMNS, seam=True), cells, "spatiotemporal"), cells, [8, 15, 25])
+
+
+@query
+def ward_labels(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(_cells(spark, d))
+    return agglomeration.ward(cells, stencil.neighbours(cells), [8, 15, 25])
+
+
+@query
+def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.kmeans(cut(_cells(spark, d)), K, rounds=10).select("cell_id", "cluster_id", r6("d").alias("d"))
+
+
+def _trajectory(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    grid, labels = _grid(spark, d)
+    return refine.run(grid, labels, strategy, M, K, ITERATIONS).trajectory_frame(spark).withColumn("cost", r6("cost"))
+
+
+@query
+def iter_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _trajectory(spark, d, "iter_merge")
+
+
+@query
+def post_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _trajectory(spark, d, "post_merge")
+
+
+@query
+def smooth_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _trajectory(spark, d, "smooth_merge")
+
+
+@query
+def integrated_conn(spark: SparkSession, d: str) -> DataFrame:
+    return _trajectory(spark, d, "integrated")
+
+
+@query
+def best_iterations(spark: SparkSession, d: str) -> DataFrame:
+    grid, labels = _grid(spark, d)
+    return refine.best_iterations(refine.run(grid, labels, "post_merge", M, K, ITERATIONS).trajectory_frame(spark)).withColumn("cost", r6("cost"))
+
+
+@query
+def sweep_results(spark: SparkSession, d: str) -> DataFrame:
+    grid, labels = _grid(spark, d)
+    found = refine.results_frame(spark, refine.sweep(grid, labels, ["post_merge", "integrated"], [5, 10], K, 2))
+    return found.withColumns({"start_cost": F.round("start_cost", 5), "best_cost": F.round("best_cost", 5)})
+
+
+@query
+def principal_angles(spark: SparkSession, d: str) -> DataFrame:
+    found = modes.angle_summary(modes.angles(lowrank.fit(_cells(spark, d), M)))
+    return found.select("c1", "c2", r6("largest").alias("largest"), r6("chordal").alias("chordal"), r6("mean_angle").alias("mean_angle"))
+
+
+@query
+def cluster_modes(spark: SparkSession, d: str) -> DataFrame:
+    return modes.cluster_modes(_cells(spark, d)).withColumn("pc", r6("pc"))
+
+
+@query
+def mode_maps(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return modes.mode_maps(cells, modes.cluster_modes(cells)).withColumn("eof", r6("eof"))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+@query
+def field_mode(spark: SparkSession, d: str) -> DataFrame:
+    return modes.field_mode(_cells(spark, d)).withColumn("value", r6("value"))
