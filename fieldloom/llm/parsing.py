@@ -9,7 +9,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes hashed at once; longer texts are cut into overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,26 +133,32 @@ class Parse:
         last = np.concatenate([owner[1:] != owner[:-1], [True]])
         phrase_end = np.where(last, self.ends[owner], np.minimum(following + width, self.ends[owner]))
         _, first, number = np.unique(rolling.of(self.sums, self.cuts, phrase_end), return_index=True, return_inverse=True)
-        # the dictionary: its phrases one after the other, and the ranks of all their suffixes
+        # the dictionary: its phrases one after the other
         size = (phrase_end - self.cuts)[first]
         self.base = np.cumsum(size) - size
         at = np.arange(int(size.sum())) - np.repeat(self.base, size)
-        dictionary = self.data[np.repeat(self.cuts[first], size) + at]
-        self.ranks = suffix_ranks(dictionary, np.arange(len(dictionary)), np.repeat(size, size) - at)
+        self.dictionary = self.data[np.repeat(self.cuts[first], size) + at]
+        self.left = np.repeat(size, size) - at
         self.number = number
-        # the parse: ranks of the phrases, each text closed by 0
-        place = np.arange(len(self.cuts)) + owner
-        parse = np.zeros(len(self.cuts) + len(texts), np.int64)
-        parse[place] = self.ranks[self.base[number]] + 1
-        self.place = place
-        self.parse = parse
+        # where each phrase stands in the parse, in which every text is closed by an end
+        self.place = np.arange(len(self.cuts)) + owner
+        self.entries = len(self.cuts) + len(texts)
 
     def order(self, positions: np.ndarray, depth: int) -> np.ndarray:
-        """The positions in the order of the suffixes that start there (right for the first `depth` bytes)."""
+        """The positions in the order of the suffixes that start there (right for the first `depth` bytes).
+
+        Of the dictionary's suffix array only the suffixes that positions ask for and the whole phrases are made.
+        """
         phrase = np.searchsorted(self.cuts, positions, side="right") - 1
-        here = self.ranks[self.base[self.number[phrase]] + positions - self.cuts[phrase]]
-        after = parse_ranks(self.parse, depth)[self.place[phrase] + 1]
-        return np.lexsort((after, here))
+        spot = self.base[self.number[phrase]] + positions - self.cuts[phrase]
+        asked = np.zeros(len(self.dictionary), bool)
+        asked[spot] = asked[self.base] = True
+        asked = np.flatnonzero(asked)
+        ranks = np.zeros(len(self.dictionary), np.int64)
+        ranks[asked] = suffix_ranks(self.dictionary, asked, self.left[asked])
+        parse = np.zeros(self.entries, np.int64)
+        parse[self.place] = ranks[self.base[self.number]] + 1
+        return np.lexsort((parse_ranks(parse, depth)[self.place[phrase] + 1], ranks[spot]))
 
     def repeated(self, positions: np.ndarray, length: int) -> np.ndarray:
         """Whether the `length` bytes at each position also start at another of the positions: neighbours in order are compared."""
