@@ -61,6 +61,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(at, rows)
 
 
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than by default, since a row is a whole text. A session with its own setting keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def columns_of(frame: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, by position in the frame, so that extra ones can't clash."""
     return frame.select(*[frame[n] for n in names])

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, cut, parallelism, small_batches, written
+from .common import byte_texts, columns_of, cut, lean, parallelism, small_batches, written
 from .parsing import PIECE, Parse, Rolling, anchors
 
 #: Bytes of a trigger, and the positions among which one is chosen.
 TRIGGER, SPAN = 16, 320
 #: Bytes of contexts ordered at once.
-ORDERED = 4 << 20
+ORDERED = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -85,31 +85,32 @@ def ranges(texts: list[bytes], length: int, span: int) -> Iterator[dict[str, np.
 
 
 def _parsed(rows: DataFrame, length: int, span: int) -> DataFrame:
-    """doc_id, digest, low, width (of the range, less 1), core, context. rows: doc_id, digest, text."""
+    """key, low, width (of the range, less 1), core, context. rows: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            ids, digests = batch.column(0), batch.column(1)
-            for x in ranges(byte_texts(batch.column(2)), length, span):
-                at = pa.array(x["text"])
-                yield pa.RecordBatch.from_arrays([ids.take(at), digests.take(at), pa.array(x["low"]), pa.array((x["high"] - x["low"]).astype(np.int32)), pa.array(x["core"]), pa.array(x["context"])], ["doc_id", "digest", "low", "width", "core", "context"])
+            for x in ranges(byte_texts(batch.column(1)), length, span):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x["text"])), pa.array(x["low"]), pa.array((x["high"] - x["low"]).astype(np.int32)), pa.array(x["core"]), pa.array(x["context"])], ["key", "low", "width", "core", "context"])
 
-    return rows.mapInArrow(run, "doc_id long, digest long, low long, width int, core long, context long")
+    return rows.select("key", "text").mapInArrow(run, "key long, low long, width int, core long, context long")
 
 
 def _contexts(asked: DataFrame, length: int) -> DataFrame:
-    """core, doc_id, digest, low, width, own, bytes: the asked contexts with their bytes. asked: doc_id, digest, text and asked (their places)."""
+    """core, key, low, width, own, bytes: the asked contexts with their bytes. asked: key, doc_id, text and asked (their places).
+
+    doc_id isn't used, but keeps the exchange of the texts the same as that of the last step, so that Spark makes it once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
             out: list[tuple] = []
-            for doc, digest, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                out += [(p["core"], doc, digest, p["low"], p["width"], p["own"], text[p["low"] : p["low"] + p["width"] + length]) for p in places]
+            for key, text, places in zip(batch.column(0).to_pylist(), byte_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                out += [(p["core"], key, p["low"], p["width"], p["own"], text[p["low"] : p["low"] + p["width"] + length]) for p in places]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "doc_id", "digest", "low", "width", "own", "bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "key", "low", "width", "own", "bytes"])
 
-    return asked.mapInArrow(run, "core long, doc_id long, digest long, low long, width int, own boolean, bytes binary")
+    return asked.select("key", "doc_id", "text", "asked").mapInArrow(run, "core long, key long, low long, width int, own boolean, bytes binary")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,38 +136,33 @@ def repeated_ranges(contexts: list[bytes], owned: np.ndarray, length: int) -> It
 
 
 def _ordered(contexts: DataFrame, length: int) -> DataFrame:
-    """doc_id, digest, low, high: stretches of repeated strings among contexts that are together by core."""
+    """key, low, high: stretches of repeated strings among contexts that are together by core."""
 
     def work(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.drop_duplicates(["core", "doc_id", "digest", "low"], ignore_index=True)
-        owned = x["width"].to_numpy() + 1
-        found = [y for y in repeated_ranges(x["bytes"].tolist(), owned, length)]
+        x = x.drop_duplicates(["core", "key", "low"], ignore_index=True)
+        found = list(repeated_ranges(x["bytes"].tolist(), x["width"].to_numpy() + 1, length))
         at, a, b = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
         x = x.iloc[at]
-        out = pd.DataFrame({"doc_id": x["doc_id"].to_numpy(), "digest": x["digest"].to_numpy(), "low": x["low"].to_numpy() + a, "high": x["low"].to_numpy() + b})
-        return out[x["own"].to_numpy(bool)]
+        low = x["low"].to_numpy()
+        return pd.DataFrame({"key": x["key"].to_numpy(), "low": low + a, "high": low + b})[x["own"].to_numpy(bool)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for x in frames:
-            x["doc_id"] = x["doc_id"].astype("Int64")
             x = x if rest is None else pd.concat([rest, x], ignore_index=True)
-            while len(x):
-                held = x["bytes"].map(len).cumsum().to_numpy()
-                if held[-1] < ORDERED:
-                    break
-                core = x["core"].to_numpy()
-                last = np.flatnonzero(np.concatenate([core[1:] != core[:-1], [False]])) + 1
-                last = last[held[last - 1] >= ORDERED][:1] if (held[last - 1] >= ORDERED).any() else last[-1:]
-                if not len(last):
-                    break
-                yield work(x.iloc[: last[0]])
-                x = x.iloc[last[0] :].reset_index(drop=True)
-            rest = x
+            core, held = x["core"].to_numpy(), x["bytes"].map(len).cumsum().to_numpy()
+            ends = np.flatnonzero(core[1:] != core[:-1]) + 1  # where a core's contexts are complete
+            begun = 0
+            while len(ends) and (held[-1] - (held[begun - 1] if begun else 0)) >= ORDERED:
+                enough = held[ends - 1] - (held[begun - 1] if begun else 0) >= ORDERED
+                end = int(ends[enough.argmax()] if enough.any() else ends[-1])
+                yield work(x.iloc[begun:end])
+                begun, ends = end, ends[ends > end]
+            rest = x.iloc[begun:].reset_index(drop=True)
         if rest is not None and len(rest):
             yield work(rest)
 
-    return contexts.mapInPandas(run, "doc_id long, digest long, low long, high long")
+    return contexts.mapInPandas(run, "key long, low long, high long")
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
@@ -175,8 +171,8 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = rolling(1), rolling(2)
         for batch in small_batches(batches, 256):
-            texts = batch.column(6).to_pylist()
-            owned = np.asarray(batch.column(4)) + 1
+            texts = batch.column(5).to_pylist()
+            owned = np.asarray(batch.column(3)) + 1
             data = np.frombuffer(b"".join(texts), np.uint8)
             sizes = np.array([len(t) for t in texts])
             number = np.repeat(np.arange(len(texts)), owned)
@@ -184,38 +180,48 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
             at = (np.cumsum(sizes) - sizes)[number] + inside
             take = pa.array(number)
             first, second = one.of(one.sums(data), at, at + length), two.of(two.sums(data), at, at + length)
-            low = np.asarray(batch.column(3))[number] + inside
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(low), batch.column(5).take(take), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["doc_id", "digest", "low", "own", "first", "second"])
+            low = np.asarray(batch.column(2))[number] + inside
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array(low), batch.column(4).take(take), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["key", "low", "own", "first", "second"])
 
-    strings = written(contexts.mapInArrow(run, "doc_id long, digest long, low long, own boolean, first long, second long").distinct())
-    twice = cut(strings.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return strings.where("own").join(twice, ["first", "second"]).select("doc_id", "digest", "low", F.col("low").alias("high"))
+    strings = contexts.mapInArrow(run, "key long, low long, own boolean, first long, second long")
+    twice = strings.select("first", "second", "key", "low").distinct().groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return strings.where("own").join(twice, ["first", "second"]).select("key", "low", F.col("low").alias("high"))
 
 
 def repeated(rows: DataFrame, length: int = 400, span: int = SPAN, group: int = 4096) -> DataFrame:
-    """doc_id, digest, spans (low, high): where strings of `length` bytes start that start elsewhere too, for documents that have some. rows: doc_id, digest, text."""
-    spark = rows.sparkSession
-    parsed = written(_parsed(rows, length, span))
+    """key, spans (low, high): where strings of `length` bytes start that start elsewhere too, for documents that have some.
+
+    rows: key (which tells them apart), doc_id, text. A join of the result with the same rows on key uses
+    the exchange of the texts that is made here.
+    """
+    parts = parallelism(rows.sparkSession)
+    parsed = written(_parsed(rows.where(F.octet_length("text") >= length), length, span))
     cores = cut(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
-    again = written(parsed.join(cores, "core"))
-    first = F.min(F.struct("doc_id", "digest", "low", "width")).alias("at")
+    # dealt anew by document, so that no file holds a core's rows alone and what is skewed can be split later
+    again = written(parsed.join(cores, "core").repartition(parts, "key", "low"))
+    first = F.min(F.struct("key", "low", "width")).alias("at")
     contexts = written(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), first))
-    whole = again.join(contexts.where("n > 1").select("core", "context"), ["core", "context"]).select("doc_id", "digest", "low", (F.col("low") + F.col("width")).alias("high"))
+    often = contexts.where("n > 1").select("core", "context")
+    whole = again.join(often, ["core", "context"]).select("key", "low", (F.col("low") + F.col("width")).alias("high"))
     mixed = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("open")).where("kinds > 1 and open").select("core", (F.col("kinds") > group).alias("crowded"))
     asked = contexts.join(cut(mixed), "core").select("core", "crowded", "at.*", (F.col("n") == 1).alias("own"))
-    by_doc = asked.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("core", "crowded", "low", "width", "own")).alias("asked"))
-    by_doc = written(by_doc).withColumnRenamed("doc_id", "d").withColumnRenamed("digest", "g")
-    held = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d"]) & (rows["digest"] == by_doc["g"]))
-    held = held.select("doc_id", "digest", "text", "asked")
-    crowded = by_doc.where(F.exists("asked", lambda x: x["crowded"])).limit(1).count() > 0
-    parts = max(parallelism(spark), 2 * spark.sparkContext.defaultParallelism)
-    few = held.withColumn("asked", F.filter("asked", lambda x: ~x["crowded"])) if crowded else held
-    ordered = _ordered(_contexts(few, length).repartition(parts, "core").sortWithinPartitions("core"), length)
-    found = whole.unionByName(ordered)
-    if crowded:
-        many = held.withColumn("asked", F.filter("asked", lambda x: x["crowded"])).where(F.size("asked") > 0)
-        found = found.unionByName(_counted(_contexts(many, length), length))
-    return written(found.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    by_doc = written(asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "low", "width", "own")).alias("asked")))
+    held = rows.join(by_doc, "key")
+    found = whole.unionByName(_ordered(_contexts(held.where("not crowded"), length).repartition(parts, "core").sortWithinPartitions("core"), length))
+    if by_doc.where("crowded").limit(1).count():
+        found = found.unionByName(_counted(_contexts(held.where("crowded"), length), length))
+    return found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with key, a digest of id and text; another seed is taken if two different rows had one key."""
+    for seed in range(8):
+        keyed = rows.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), "doc_id", "text")
+        other = F.xxhash64(F.lit(seed + 100), "text", "doc_id")
+        shared = keyed.select("key", other.alias("other")).groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+        if not shared.limit(1).count():
+            return keyed
+    raise RuntimeError("no seed tells the rows apart")
 
 
 def removed(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -238,10 +244,9 @@ def deduplicate(docs: DataFrame, length: int = 400, span: int = SPAN, group: int
     UTF-8. No rows in, no rows out.
     """
     rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    long_enough = rows.where(F.octet_length("text") >= length)
-    found = repeated(long_enough, length, span, group).withColumnRenamed("doc_id", "d").withColumnRenamed("digest", "g")
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["digest"] == found["g"]), "left").select("doc_id", "text", "spans")
+    lean(docs.sparkSession)
+    rows = _keyed(rows)
+    joined = rows.join(repeated(rows, length, span, group), "key", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
