@@ -192,14 +192,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = columns_of(labels, "doc_id", TARGET_COLUMN).where(F.col(TARGET_COLUMN).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(TARGET_COLUMN) >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = columns_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text").limit(2 * sample)
+    rows = columns_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             x = feature_matrix(byte_texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["label", *FEATURES])
 
-    found: pd.DataFrame = rows.mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    figures = rows.mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES))
+    found: pd.DataFrame = figures.limit(2 * sample).toPandas()  # more only if rows repeat an id
     found = found.sort_values(["label", *FEATURES])  # the same model whatever order the rows came in
     return train(found[list(FEATURES)].to_numpy(np.float64).reshape(len(found), len(FEATURES)), found["label"].to_numpy(np.float64))
 
