@@ -28,6 +28,11 @@ def _merged(x: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return int(x["n"].sum()), s, sum(np.frombuffer(b) for b in x["g"]).reshape(len(s), len(s))
 
 
+def no_rows(*columns: str) -> pd.DataFrame:
+    """An empty frame whose columns take any type, lists too."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def states(labelled: DataFrame) -> DataFrame:
     """cluster_id, n, s, g of rows (cluster_id, x); x without nulls."""
 
@@ -73,7 +78,7 @@ def fit(labelled: DataFrame, m: int) -> DataFrame:
     def one(x: pd.DataFrame) -> pd.DataFrame:
         n, s, g = _merged(x)
         if n <= m:
-            return pd.DataFrame({"cluster_id": [], "n": [], "mean": [], "basis": [], "explained": [], "total_ss": [], "residual_ss": []})
+            return no_rows("cluster_id", "n", "mean", "basis", "explained", "total_ss", "residual_ss")
         if not np.isfinite(g).all():
             raise RuntimeError("series with values that aren't finite can't be fitted")
         mean, values, vectors = spectrum(n, s, g)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lowrank import _merged, spectrum, states
+from .lowrank import _merged, no_rows, spectrum, states
 
 
 def principal_angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def cluster_modes(labelled: DataFrame, n_modes: int = 2) -> DataFrame:
     def one(x: pd.DataFrame) -> pd.DataFrame:
         n, s, g = _merged(x)
         if min(n, len(s)) < 2:
-            return pd.DataFrame({"cluster_id": [], "mode": [], "t": [], "pc": []})
+            return no_rows("cluster_id", "mode", "t", "pc")
         _, values, vectors = spectrum(1, np.zeros_like(s), g)
         rows = [(x["cluster_id"].iloc[0], m + 1, t, v) for m in range(n_modes) for t, v in enumerate(np.sqrt(values[m]) * vectors[m])]
         return pd.DataFrame(rows, columns=["cluster_id", "mode", "t", "pc"])
