@@ -15,18 +15,28 @@ tree becomes nested Python closures; no source text is ever evaluated.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
 Scope = dict[str, Any]
-Out = list[tuple[str, bool]]
+Piece = tuple[str, bool]
 
 
 class TemplateError(ValueError):
     pass
 
 
+class Stream:
+    """Items that a loop reads once, one after the other, without holding them."""
+
+    def __init__(self, items: Iterable):
+        self.items = items
+
+    def __iter__(self) -> Iterator:
+        return iter(self.items)
+
+
 # --- syntax tree -------------------------------------------------------------------------------
 
 
@@ -395,60 +405,75 @@ def _value(node: Any, escape: Callable[[str], str]) -> Callable[[Scope], Any]:
     return lambda scope: f(left(scope), right(scope))
 
 
-def _statements(body: tuple, marked: bool, escape: Callable[[str], str]) -> Callable[[Scope, Out], None]:
+def _statements(body: tuple, marked: bool, escape: Callable[[str], str]) -> Callable[[Scope], Iterator[Piece]]:
     steps = [_statement(x, marked, escape) for x in body]
 
-    def run(scope: Scope, out: Out) -> None:
+    def run(scope: Scope) -> Iterator[Piece]:
         for step in steps:
-            step(scope, out)
+            yield from step(scope)
 
     return run
 
 
-def _statement(x: Any, marked: bool, escape: Callable[[str], str]) -> Callable[[Scope, Out], None]:
+def _statement(x: Any, marked: bool, escape: Callable[[str], str]) -> Callable[[Scope], Iterable[Piece]]:
     if isinstance(x, Text):
-        return lambda scope, out, piece=(x.text, marked): out.append(piece)
+        return lambda scope, pieces=((x.text, marked),): pieces
     if isinstance(x, Print):
         of = _value(x.of, escape)
-        return lambda scope, out: out.append((_text(of(scope)), marked))
+        return lambda scope: ((_text(of(scope)), marked),)
     if isinstance(x, Set):
         of = _value(x.of, escape)
-        return lambda scope, out, name=x.name: scope.__setitem__(name, of(scope))
+
+        def put(scope: Scope, name: str = x.name) -> Iterable[Piece]:
+            scope[name] = of(scope)
+            return ()
+
+        return put
     if isinstance(x, Generation):
         return _statements(x.body, True, escape)
     if isinstance(x, If):
         arms = [(_value(c, escape), _statements(b, marked, escape)) for c, b in x.arms]
 
-        def choose(scope: Scope, out: Out) -> None:
+        def choose(scope: Scope) -> Iterable[Piece]:
             for condition, then in arms:
                 if condition(scope):
-                    then(scope, out)
-                    return
+                    return then(scope)
+            return ()
 
         return choose
     of, then = _value(x.of, escape), _statements(x.body, marked, escape)
 
-    def loop(scope: Scope, out: Out, name: str = x.name) -> None:
+    def loop(scope: Scope, name: str = x.name) -> Iterator[Piece]:
         items = of(scope)
         if items is None:
             return
-        if not isinstance(items, (list, tuple)):
+        if not isinstance(items, (list, tuple, Stream)):
             raise TemplateError("a loop takes a list")
-        inner = dict(scope)
-        for i, item in enumerate(items):
-            inner[name], inner["loop"] = item, {"first": i == 0, "last": i == len(items) - 1, "index0": i}
-            then(inner, out)
+        inner, end = dict(scope), object()
+        ahead = iter(items)
+        item, i = next(ahead, end), 0
+        while item is not end:
+            following = next(ahead, end)
+            inner[name], inner["loop"] = item, {"first": i == 0, "last": following is end, "index0": i}
+            yield from then(inner)
+            item, i = following, i + 1
 
     return loop
 
 
-def compile_template(source: str, escape: Callable[[str], str] = lambda x: x) -> Callable[[Scope], Out]:
-    """A function from the template's variables to its output: pieces of text, each with whether it is under the loss mask."""
-    run = _statements(fold_body(parse(source), escape), False, escape)
+class Template:
+    """A compiled template. Called with the template's variables it gives its output as pieces of text, each with whether it is under the loss mask."""
+
+    def __init__(self, source: str, escape: Callable[[str], str] = lambda x: x):
+        self.run = _statements(fold_body(parse(source), escape), False, escape)
+
+    def pieces(self, variables: Scope) -> Iterator[Piece]:
+        """One piece at a time. A loop over a Stream has taken one item more than it has put out."""
+        return (x for x in self.run(dict(variables)) if x[0])
+
+    def __call__(self, variables: Scope) -> list[Piece]:
+        return list(self.pieces(variables))
 
-    def render(variables: Scope) -> Out:
-        out: Out = []
-        run(dict(variables), out)
-        return [x for x in out if x[0]]
 
-    return render
+def compile_template(source: str, escape: Callable[[str], str] = lambda x: x) -> Template:
+    return Template(source, escape)

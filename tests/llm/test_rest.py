@@ -174,6 +174,17 @@ def test_conversations_round_trip(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_a_long_conversation_comes_in_parts(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"{ODD[t % len(ODD)] or ''} {t}") for c in range(3) for t in range(300)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cut_up, whole = chat.format_conversations(frame, part_chars=400), chat.format_conversations(frame)
+    assert cut_up.count() > 30 and whole.count() == 3
+    assert cut_up.selectExpr("max(length(formatted)) as n").first()["n"] < 600
+    joined = {r["conv_id"]: "".join(p["formatted"] for p in r["p"]) for r in cut_up.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "formatted"))).alias("p")).collect()}
+    assert joined == {r["conv_id"]: r["formatted"] for r in whole.collect()}
+    assert {tuple(r) for r in chat.digests(cut_up, in_order=True).collect()} == {tuple(r) for r in chat.digests(cut_up.repartition(5)).collect()} == {tuple(r) for r in chat.digests(whole).collect()}
+
+
 def test_escaping_is_reversible_and_leaves_no_control_string():
     alphabet = ["<", "/", "s", ">", "\\", "[", "INST", "]", "ROLE", "x"]
     rng = random.Random(1)
