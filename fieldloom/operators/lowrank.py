@@ -150,6 +150,17 @@ def distances(series: DataFrame, subspaces: Subspaces) -> DataFrame:
     return series.select("cell_id", "x").mapInPandas(run, "cell_id long, clusters array<int>, d array<double>")
 
 
+def rank_profile(found: DataFrame) -> DataFrame:
+    """rank, d: the mean over cells of their distances in ascending order. found: as distances() gives it."""
+    return found.select(F.posexplode(F.array_sort("d")).alias("rank", "d")).groupBy("rank").agg(F.avg("d").alias("d"))
+
+
+def mean_distances(found: DataFrame) -> DataFrame:
+    """cluster_id, d: the mean distance of all cells to each subspace."""
+    at = found.select(F.explode(F.arrays_zip("clusters", "d")).alias("x"))
+    return at.groupBy(F.col("x.clusters").alias("cluster_id")).agg(F.avg("x.d").alias("d"))
+
+
 def assign(series: DataFrame, subspaces: Subspaces) -> DataFrame:
     """cell_id, cluster_id, d: the nearest subspace of each cell, ties to the least id."""
 

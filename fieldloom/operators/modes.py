@@ -76,3 +76,26 @@ def field_mode(series: DataFrame, zero_cells: int = 0) -> DataFrame:
         return pd.DataFrame({"t": np.arange(len(s)), "value": vectors[0]})
 
     return states(series.select(F.lit(0).alias("cluster_id"), "x")).groupBy("cluster_id").applyInPandas(one, "t int, value double")
+
+
+def whitened(series: DataFrame, m: int) -> DataFrame:
+    """cell_id, z: centred series in the first m principal directions, each with unit variance over all cells (n - 1)."""
+
+    def one(x: pd.DataFrame) -> pd.DataFrame:
+        n, s, g = _merged(x)
+        mean, values, vectors = spectrum(n, s, g)
+        scale = np.sqrt(np.maximum(values[:m], 0) / max(n - 1, 1))
+        rows = np.divide(vectors[:m], scale[:, None], out=np.zeros_like(vectors[:m]), where=scale[:, None] > 0)
+        return pd.DataFrame({"mean": [mean.tolist()], "rows": [rows.tolist()]})
+
+    turn = states(series.select(F.lit(0).alias("cluster_id"), "x")).groupBy("cluster_id").applyInPandas(one, "mean array<double>, rows array<array<double>>")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    centred = series.select("cell_id", "x").join(F.broadcast(turn)).select("cell_id", "rows", F.zip_with("x", "mean", lambda a, b: a - b).alias("c"))
+    return centred.select("cell_id", F.transform("rows", lambda r: total(F.zip_with(r, "c", lambda a, b: a * b))).alias("z"))
+
+
+def against_index(mode: DataFrame, times: DataFrame, index: DataFrame) -> DataFrame:
+    """ts, pc, value: a mode (t, pc) less its mean beside a climate index (ts, anomaly) of the same months. times: t, ts."""
+    month = lambda c: F.date_trunc("month", c)
+    centred = mode.join(times, "t").select("ts", (F.col("pc") - F.lit(mode.agg(F.avg("pc")).first()[0])).alias("pc"))
+    return centred.join(index.select(month("ts").alias("m"), "anomaly"), month("ts") == F.col("m")).select("ts", "pc", F.col("anomaly").alias("value"))

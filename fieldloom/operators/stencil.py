@@ -39,6 +39,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def degrees(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """cell_id, n: the number of neighbours, 0 where there is none."""
+    n = both_ways(edges).groupBy(F.col("src").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    return cells.select("cell_id").join(n, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def summary(frame: DataFrame, column: str) -> DataFrame:
+    """Least, greatest and mean value of a column."""
+    return frame.agg(F.min(column).alias("least"), F.max(column).alias("greatest"), F.avg(column).alias("mean"))
+
+
 def radius_stencil(grid: DataFrame, half_width: float, n_lon: int, wrap: bool, radius: float = FILTER_RADIUS_KM) -> DataFrame:
     """lat_idx, dlat, dlon, w: for each row of the grid the offsets within the filter's reach and their Gaussian weight, the centre (weight 1) included.
 

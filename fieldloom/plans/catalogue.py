@@ -259,7 +259,22 @@ def nearest_regrid(spark: SparkSession, d: str) -> DataFrame:
 @query
 def label_raster(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
-    return masks.raster(cells.select("cell_id", "lat_idx", "lon_idx"), masks.masked_labels(_labels(cells), cells.where("cluster_id % 2 = 0")))
+    found = masks.raster(cells.select("cell_id", "lat_idx", "lon_idx"), masks.masked_labels(_labels(cells), cells.where("cluster_id % 2 = 0")))
+    return found.withColumn("cluster_id", F.col("cluster_id").cast("double"))
+
+
+@query
+def degree_summary(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    found = stencil.summary(stencil.degrees(cells, stencil.neighbours(cells)), "n")
+    return found.select("least", "greatest", r6("mean").alias("mean"))
+
+
+@query
+def edge_distance_summary(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    found = stencil.summary(pairs.edge_distances(stencil.neighbours(cells), cells, "euclidean"), "d")
+    return found.select(*[r6(c).alias(c) for c in found.columns])
 
 
 # --- components -------------------------------------------------------------------------------------
@@ -418,6 +433,20 @@ def subspace_assignment(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d")).alias("cost"))
 
 
+@query
+def axis_rank_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The mean distance of cells to their nearest, second nearest, ... subspace on unit axes."""
+    found = _axis_distances(spark, d)[1].groupBy("cell_id").agg(F.collect_list("d").alias("d"))
+    return lowrank.rank_profile(found).select("rank", r6("d").alias("d"))
+
+
+@query
+def mean_distance_by_subspace(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    found = lowrank.mean_distances(lowrank.distances(cells, lowrank.Subspaces(lowrank.fit(cells, M))))
+    return found.select("cluster_id", r6("d").alias("d"))
+
+
 def _grid(spark: SparkSession, d: str) -> tuple[refine.Grid, DataFrame]:
     cells = cut(_cells(spark, d))
     grid = refine.Grid(cells, cut(stencil.neighbours(cells, n_lon=COLUMNS)), cut(stencil.neighbours(cells, stencil.FOUR)), cut(_places(cells)), COLUMNS)
@@ -450,6 +479,12 @@ def ward_labels(spark: SparkSession, d: str) -> DataFrame:
     return agglomeration.ward(cells, stencil.neighbours(cells), [8, 15, 25])
 
 
+@query
+def ward_unconstrained_labels(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(_cells(spark, d))
+    return agglomeration.ward_unconstrained(pairs.all_pairs(cells, "squared_euclidean"), cells, [8, 15, 25])
+
+
 @query
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
     return centroids.kmeans(cut(_cells(spark, d)), K, rounds=10).select("cell_id", "cluster_id", r6("d").alias("d"))
@@ -486,6 +521,12 @@ def best_iterations(spark: SparkSession, d: str) -> DataFrame:
     return refine.best_iterations(refine.run(grid, labels, "post_merge", M, K, ITERATIONS).trajectory_frame(spark)).withColumn("cost", r6("cost"))
 
 
+@query
+def explained_by_iteration(spark: SparkSession, d: str) -> DataFrame:
+    grid, labels = _grid(spark, d)
+    return refine.mean_explained(refine.run(grid, labels, "post_merge", M, K, ITERATIONS).explained_frame(spark)).withColumn("explained", r6("explained"))
+
+
 @query
 def sweep_results(spark: SparkSession, d: str) -> DataFrame:
     grid, labels = _grid(spark, d)
@@ -513,3 +554,9 @@ def mode_maps(spark: SparkSession, d: str) -> DataFrame:
 @query
 def field_mode(spark: SparkSession, d: str) -> DataFrame:
     return modes.field_mode(_cells(spark, d)).withColumn("value", r6("value"))
+
+
+@query
+def whitened(spark: SparkSession, d: str) -> DataFrame:
+    found = modes.whitened(_cells(spark, d), 3)
+    return found.select("cell_id", *[r6(F.abs(F.col("z")[k])).alias(f"z{k}") for k in range(3)])

@@ -136,6 +136,12 @@ WHERE (a.lon_idx - b.lon_idx + 10) % 10 IN (0, 1, 9) OR (a.lon_idx = e.lo AND b.
     "grid_extrema": f"WITH {FIELD} SELECT min(lat_idx) AS first_row, max(lat_idx) AS last_row, min(lon_idx) AS first_column, max(lon_idx) AS last_column FROM whole",
     "edge_distances": f"WITH {CELLS}, {EDGE_8_WRAP} SELECT src, dst, round(list_distance(a.x, b.x), 6) AS d FROM edges JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst",
     "edge_distances_spatiotemporal": f"WITH {CELLS}, {STANDARD}, {EDGE_8} SELECT src, dst, round({SPATIOTEMPORAL}, 6) AS d FROM edges JOIN standard a ON a.cell_id = src JOIN standard b ON b.cell_id = dst",
+    "degree_summary": f"""WITH {CELLS}, {EDGE_8}, links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), n AS (
+  SELECT cell_id, count(src) AS n FROM cells LEFT JOIN links ON src = cell_id GROUP BY 1
+) SELECT min(n) AS least, max(n) AS greatest, round(avg(n), 6) AS mean FROM n""",
+    "edge_distance_summary": f"""WITH {CELLS}, {EDGE_8}, d AS (SELECT list_distance(a.x, b.x) AS d FROM edges JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst)
+SELECT round(min(d), 6) AS least, round(max(d), 6) AS greatest, round(avg(d), 6) AS mean FROM d""",
+    "axis_rank_profile": f"WITH {AXES}, ranked AS (SELECT d, row_number() OVER (PARTITION BY cell_id ORDER BY d) - 1 AS n FROM axes) SELECT CAST(n AS INTEGER) AS rank, round(avg(d), 6) AS d FROM ranked GROUP BY 1",
     "radius_join": f"WITH {CELLS}, {_reach('cells', 'cells')} SELECT cell_id, to_lat, to_lon, round(w, 6) AS w FROM weights",
     "gauss_smooth": f"""WITH {FIELD}, places AS (
   SELECT r.lat_idx, CAST(j AS INTEGER) AS lon_idx, -75.0 + 1.5 * r.lat_idx AS latitude, -9.0 + 2.0 * j AS longitude FROM (SELECT DISTINCT lat_idx FROM field) r CROSS JOIN range(10) g(j)
@@ -157,7 +163,7 @@ SELECT w.cell_id, f.t, round(sum(w.w * f.sla), 6) AS sla FROM weights w JOIN fie
 SELECT latitude, longitude, CAST(t AS INTEGER) AS t, round(sum(w * sla), 6) AS sla FROM used JOIN vals USING (lat_idx, lon_idx) GROUP BY latitude, longitude, t, n HAVING count(sla) = n""",
     "nearest_regrid": f"""WITH {CELLS}, {FIELD}
 SELECT f.cell_id, c.cluster_id FROM whole f JOIN cells c ON c.lat_idx = CAST(ceil((f.latitude + 79.0) / 2.0 - 0.5) AS INTEGER) AND c.lon_idx = CAST(ceil((f.longitude + 24.0) / 2.0 - 0.5) AS INTEGER)""",
-    "label_raster": f"WITH {CELLS} SELECT cell_id, lat_idx, lon_idx, CASE WHEN cluster_id % 2 = 0 THEN cluster_id END AS cluster_id FROM cells",
+    "label_raster": f"WITH {CELLS} SELECT cell_id, lat_idx, lon_idx, CASE WHEN cluster_id % 2 = 0 THEN CAST(cluster_id AS DOUBLE) END AS cluster_id FROM cells",
     "same_cluster_edges": f"WITH {CELLS}, {EDGE_8_WRAP}, {SAME} SELECT * FROM same",
     "components": f"WITH RECURSIVE {COMPONENTS} SELECT * FROM comps",
     "component_sizes": f"WITH RECURSIVE {COMPONENTS} SELECT comp_id, cluster_id, count(*) AS size FROM comps GROUP BY 1, 2",

@@ -332,3 +332,32 @@ def test_whole_run(spark, tmp_path):
     assert out["initial"].select("cluster_id").distinct().count() == 3
     again = pipeline.run(spark, field, settings)
     assert again["initial"].exceptAll(out["initial"]).count() == 0
+
+
+def test_ward_without_neighbours_equals_brute_force(spark):
+    x = np.random.default_rng(8).normal(size=(24, 3))
+    series = cut(series_frame(spark, x, 6))
+    got = agglomeration.ward_unconstrained(pairs.all_pairs(series, "squared_euclidean"), series, [4]).toPandas()
+    groups = [[k] for k in range(24)]
+    ss = lambda g: np.square(x[g] - x[g].mean(0)).sum()
+    while len(groups) > 4:
+        _, a, b = min((ss(p + q) - ss(p) - ss(q), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+        groups[a] += groups.pop(b)
+    assert {frozenset(g["cell_id"]) for _, g in got.groupby("cluster_id")} == {frozenset(g) for g in groups}
+
+
+def test_whitening_and_alignment(spark):
+    x, _ = planted(9)
+    z = np.stack(modes.whitened(series_frame(spark, x, 10), 3).toPandas()["z"])
+    assert np.cov(z.T) == pytest.approx(np.eye(3), abs=1e-8)
+    mode = spark.createDataFrame([(0, 1.0), (1, 3.0)], "t int, pc double")
+    times = spark.createDataFrame([(0, "2000-01-15"), (1, "2000-02-15")], "t int, ts string").selectExpr("t", "timestamp(ts) as ts")
+    index = spark.createDataFrame([("2000-01-02", 0.5), ("2001-01-02", 9.0)], "ts string, anomaly double").selectExpr("timestamp(ts) as ts", "anomaly")
+    assert [(r["pc"], r["value"]) for r in modes.against_index(mode, times, index).collect()] == [(-1.0, 0.5)]
+
+
+def test_distance_profiles(spark):
+    spaces = spaces_of(spark, [(0, [0, 0], [[1, 0]]), (1, [0, 0], [[0, 1]])])
+    found = lowrank.distances(series_frame(spark, [[3, 1], [0, 2]], 2), spaces)
+    assert [r["d"] for r in lowrank.rank_profile(found).orderBy("rank").collect()] == [0.5, 6.5]
+    assert {r["cluster_id"]: r["d"] for r in lowrank.mean_distances(found).collect()} == {0: 2.5, 1: 4.5}
