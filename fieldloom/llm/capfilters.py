@@ -99,14 +99,17 @@ def _owned(a: np.ndarray, b: np.ndarray, scores: np.ndarray, lists: list[np.ndar
     """
     best = (scores[a] + scores[b]).argmax(axis=2)
     top = ((best[:, 0] * c.size + best[:, 1]) * c.size**2 + best[:, 2] * c.size + best[:, 3]).astype(np.int64)
-    out = np.empty(len(a), bool)
-    for k, (x, y, t, f) in enumerate(zip(a.tolist(), b.tolist(), top.tolist(), number.tolist(), strict=True)):
-        p, q = lists[x], lists[y]
-        i, j = np.searchsorted(p, t), np.searchsorted(q, t)
-        if i < len(p) and p[i] == t and j < len(q) and q[j] == t:
-            out[k] = f == t
-        else:
-            out[k] = f == np.intersect1d(p, q, assume_unique=True)[0]
+    every = c.size**BLOCKS
+    held = np.concatenate(lists) + np.repeat(np.arange(len(lists)), [len(x) for x in lists]) * every  # ascending
+
+    def has(row: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(held, row * every + top), len(held) - 1)
+        return held[at] == row * every + top
+
+    shared = has(a) & has(b)
+    out = shared & (number == top)
+    for k in np.flatnonzero(~shared).tolist():
+        out[k] = number[k] == np.intersect1d(lists[a[k]], lists[b[k]], assume_unique=True)[0]
     return out
 
 
