@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, shared_dir
+
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,33 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is read from the session; only where the
-    session names none (a local master, as in tests) is a temporary folder set."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if current is None:
-        folder = folder or tempfile.mkdtemp(prefix="shared-")
-        context.setCheckpointDir(folder)
-        current = context.getCheckpointDir()
-    return folder or current
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage ends here, and lost executors don't matter."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def written(frame: DataFrame) -> DataFrame:
-    """As cut(), for larger rows: a compressed Parquet table in the shared folder."""
+    """As cut(), for larger rows: a compressed Parquet table in the shared folder. It goes when the driver ends, or by clean_up()."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    folder = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(_delete, folder)
+    return folder
+
+
+_used: set[str] = set()
+
+
+def _delete(folder: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables that operators have written so far. Results that haven't been read to the end may still need them."""
+    _delete(tables_dir(spark))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -253,3 +253,14 @@ def test_pipeline_of_no_documents(spark, small_dir):
     for _, stage in corpus_pipeline.STAGES[1:]:
         odd = stage(spark, odd, small_dir)
     assert odd.count() > 0
+
+
+def test_written_tables_can_be_cleaned_up(spark):
+    from fieldloom.llm.common import clean_up, tables_dir, written
+
+    assert written(spark.range(5).toDF("n")).count() == 5
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    clean_up(spark)
+    assert not files.exists(path)
