@@ -154,6 +154,19 @@ def test_constrained_linkage(spark):
     assert {r["k"] for r in got.collect()} == {2}  # two pieces never become one
 
 
+def test_constrained_linkage_with_missing_links_made_up(spark):
+    x = [[0.0], [1.0], [5.0], [9.0]]
+    series = series_frame(spark, x, 4)
+    total = agglomeration.paired_sum(series, "euclidean")
+    assert total([0, 1], [2]) == 5.0 and total([0, 1], [2, 3]) == 13.0
+    edges = {(0, 1): 1.0, (1, 2): 4.0, (2, 3): 4.5}
+    plain = agglomeration.constrained_merges(dict.fromkeys(range(4), 1), edges)
+    assert plain == [(1.0, 0, 1), (4.0, 0, 2), (4.5, 0, 3)]
+    # after 0 and 1 merge, 2 is at (5 * 1 + 4 * 1) / 2
+    made_up = agglomeration.constrained_merges(dict.fromkeys(range(4), 1), edges, total)
+    assert made_up[:2] == [(1.0, 0, 1), (4.5, 0, 2)] and len(made_up) == 3
+
+
 def test_ward_takes_the_least_growth():
     x = {k: np.array([v]) for k, v in enumerate([0.0, 0.1, 5.0, 5.2, 20.0])}
     merges = agglomeration.ward_merges(x, [(0, 1), (1, 2), (2, 3), (3, 4)])
