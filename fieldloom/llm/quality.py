@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, small_batches
+from .common import byte_texts, columns_of, small_batches, stretches
 
 #: At most so many labelled documents are learned from, picked by a digest of their ids.
 SAMPLE = 20_000
@@ -38,8 +38,22 @@ _UPPER = slice(65, 91)
 _MARKS = b"!#$%&*+/<=>?@\\^_`{|}~"
 
 
-def features(text: bytes) -> list[float]:
-    """The figures of one whole text; all of them are defined for empty texts."""
+#: Longer texts are figured in stretches of about so many bytes.
+STRETCH = 4 << 20
+
+
+def features(text: bytes, stretch: int = STRETCH) -> list[float]:
+    """The figures of one whole text; all of them are defined for empty texts.
+
+    A text longer than `stretch` has the means of its stretches' figures, weighted by their bytes,
+    and its own size, number of words and longest word.
+    """
+    if len(text) > stretch:
+        parts = list(stretches(text, stretch))
+        each = np.array([features(x, len(x)) for x in parts])
+        out = np.average(each, axis=0, weights=[len(x) for x in parts])
+        out[:2], out[4] = np.log1p(np.expm1(each[:, :2]).sum(axis=0)), each[:, 4].max()
+        return out.tolist()
     n = len(text)
     if not n:
         return [0.0] * len(FEATURES)

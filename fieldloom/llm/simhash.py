@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, cut, parallelism, small_batches
+from .common import byte_texts, columns_of, cut, parallelism, small_batches, stretches
 from .components import components, local_forests
 
 RADIUS = 1
@@ -30,23 +30,33 @@ HALF_THRESHOLDS = (2, 1)
 THRESHOLD = sum(x + 1 for x in HALF_THRESHOLDS) - 1
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42, step: int = 1 << 16) -> int:
-    """The fingerprint of one text; its shingles are hashed in runs of `step`, so memory is bounded by the words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    k = min(words_per_shingle, len(words))
+def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42, step: int = 1 << 20) -> int:
+    """The fingerprint of one text. Its words are made and hashed in stretches of about `step` bytes, so a long text's words are never held together."""
+    k, n, held = words_per_shingle, 0, []
+    ones = np.zeros(64, np.int64)
+    for stretch in stretches(text, step):
+        words = held + stretch.lower().split()
+        if len(words) >= k:
+            ones += _ones(words, k, seed)
+            n += len(words) - k + 1
+        held = words[max(0, len(words) - k + 1) :]
+    if not n and held:
+        ones, n = _ones(held, len(held), seed), 1
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def _ones(words: list[bytes], k: int, seed: int) -> np.ndarray:
+    """For each bit the number of shingles of k words whose hash has it."""
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), step):
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + step].tolist(), ends[at : at + step].tolist(), strict=True)], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(starts), bitorder="little")
-    return int(bits.view("<i8")[0])
+    out = np.zeros(64, np.int64)
+    pairs = list(zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
+    for at in range(0, len(pairs), 1 << 16):
+        hashes = np.array([digest(line[a:b], seed) for a, b in pairs[at : at + (1 << 16)]], np.uint64)
+        out += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return out
 
 
 def _keys() -> list[Column]:

@@ -143,6 +143,14 @@ def test_quality_of_odd_documents(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_long_texts_are_figured_in_stretches():
+    text = words(random.Random(4), 4000).encode()
+    one, many = quality.features(text), quality.features(text, 1000)
+    assert len(one) == len(many) == len(quality.FEATURES)
+    assert one[:2] == pytest.approx(many[:2], abs=0.01) and one[4] == many[4]
+    assert one[2] == pytest.approx(many[2], rel=0.05)
+
+
 def test_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = np.zeros((3000, len(quality.FEATURES)))

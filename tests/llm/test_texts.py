@@ -41,6 +41,13 @@ def test_simhash_equals_brute_force(spark):
     assert any(prints[i] != prints[j] for i, j in links)
 
 
+@pytest.mark.parametrize("step", [1, 7, 64, 5000])
+def test_fingerprints_don_t_depend_on_stretches(step):
+    for text in odd_texts():
+        data = (text or "").encode()
+        assert simhash.fingerprint(data, step=step) % 2**64 == brute_fingerprint(text)
+
+
 def test_anchor_points_lose_no_link(spark):
     """Pairs at every distance up to 6, with the differing bits anywhere."""
     rng = random.Random(2)
