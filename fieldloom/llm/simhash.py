@@ -46,16 +46,17 @@ def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42, step: i
 
 
 def _ones(words: list[bytes], k: int, seed: int) -> np.ndarray:
-    """For each bit the number of shingles of k words whose hash has it."""
+    """For each bit (the lowest first) the number of shingles of k words whose hash has it."""
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1]
+    ends = ends[k - 1 :]
+    digest = xxhash.xxh64_digest
     out = np.zeros(64, np.int64)
-    pairs = list(zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    for at in range(0, len(pairs), 1 << 16):
-        hashes = np.array([digest(line[a:b], seed) for a, b in pairs[at : at + (1 << 16)]], np.uint64)
-        out += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(starts), 1 << 16):
+        hashes = b"".join([digest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)])
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
+        out += np.add.reduce(bits, axis=0, dtype=np.uint32)[::-1]
     return out
 
 
