@@ -12,7 +12,7 @@ all replicas there. Replicas per fingerprint are a constant (about 172 and 17),
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -60,7 +60,7 @@ def _ones(words: list[bytes], k: int, seed: int) -> np.ndarray:
     return out
 
 
-def _keys() -> list[Column]:
+def keys() -> list[Column]:
     """Two digests of a row's id and text, never null: together they tell rows apart."""
     return [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check")]
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) ->
             found = [fingerprint(x, words_per_shingle, seed) for x in byte_texts(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["doc_id", "key", "check", "fp"])
 
-    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(), "text")
+    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *keys(), "text")
     return rows.mapInArrow(run, "doc_id long, key long, check long, fp long")
 
 
@@ -127,22 +127,32 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42)
     """
     spark = docs.sparkSession
     prints = cut(fingerprints(docs, words_per_shingle, seed))
+    parts = max(parallelism(spark), 2 * spark.sparkContext.defaultParallelism)
+    out = with_firsts(prints, lambda classes: local_forests(links(classes.select("fp").repartition(parts))))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), "kept", "key", "check")
+
+
+def with_firsts(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, key, check, fp of each row, with first (of its component, by id, null last, then by a digest) and kept: it is the first. link: pairs a, b of fp from the classes (fp, first)."""
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "check")
     classes = cut(prints.groupBy("fp").agg(F.min(first).alias("first")))
-    spread = classes.select("fp").repartition(max(parallelism(spark), 2 * spark.sparkContext.defaultParallelism))
-    roots = components(local_forests(links(spread)))
+    roots = components(link(classes))
     joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = cut(joined)
     firsts = cut(joined.groupBy("root").agg(F.min("first").alias("first")))
     of_class = cut(joined.select("fp", "root").join(firsts, "root").select("fp", "first"))
     out = prints.join(of_class, "fp")
-    kept = (F.col("key") == F.col("first.key")) & (F.col("check") == F.col("first.check"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), kept.alias("kept"), "key", "check")
+    return out.withColumn("kept", (F.col("key") == F.col("first.key")) & (F.col("check") == F.col("first.check")))
 
 
 def representatives(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
     """One row of docs, with all its columns, for each group of near-duplicates."""
-    kept = near_duplicates(docs, words_per_shingle, seed).where("kept").select("key", "check").distinct()
+    return kept_rows(docs, near_duplicates(docs, words_per_shingle, seed))
+
+
+def kept_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of docs that are marked as kept, once each. marked: key, check, kept."""
+    kept = marked.where("kept").select("key", "check").distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    rows = rows.select("row", *_keys())
+    rows = rows.select("row", *keys())
     return rows.join(cut(kept), ["key", "check"], "left_semi").dropDuplicates(["key", "check"]).select("row.*")
