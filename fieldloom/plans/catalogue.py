@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Refinement
 from ..functions import geo
 from ..functions.distances import residual
 from ..lineage import cut
@@ -24,8 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: The embedding grid has 25 columns, two degrees apart from -79 and -24.
 COLUMNS, LAT0, LON0, STEP = 25, -79.0, -24.0, 2.0
-#: Of the loops in this catalogue: dimensions, clusters, and iterations (the operators' own caps are 49 and 100).
-M, K, ITERATIONS = 5, 10, 4
+#: Of the loops in this catalogue: dimensions and clusters. They run to the operators' own caps (49 and 100).
+M, K = 5, 10
 
 QUERIES: dict[str, Query] = {}
 
@@ -487,12 +488,12 @@ def ward_unconstrained_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
-    return centroids.kmeans(cut(_cells(spark, d)), K, rounds=10).select("cell_id", "cluster_id", r6("d").alias("d"))
+    return centroids.kmeans(cut(_cells(spark, d)), K).select("cell_id", "cluster_id", r6("d").alias("d"))
 
 
 def _trajectory(spark: SparkSession, d: str, strategy: str) -> DataFrame:
     grid, labels = _grid(spark, d)
-    return refine.run(grid, labels, strategy, M, K, ITERATIONS).trajectory_frame(spark).withColumn("cost", r6("cost"))
+    return refine.run(grid, labels, strategy, M, K).trajectory_frame(spark).withColumn("cost", r6("cost"))
 
 
 @query
@@ -518,19 +519,19 @@ def integrated_conn(spark: SparkSession, d: str) -> DataFrame:
 @query
 def best_iterations(spark: SparkSession, d: str) -> DataFrame:
     grid, labels = _grid(spark, d)
-    return refine.best_iterations(refine.run(grid, labels, "post_merge", M, K, ITERATIONS).trajectory_frame(spark)).withColumn("cost", r6("cost"))
+    return refine.best_iterations(refine.run(grid, labels, "post_merge", M, K).trajectory_frame(spark)).withColumn("cost", r6("cost"))
 
 
 @query
 def explained_by_iteration(spark: SparkSession, d: str) -> DataFrame:
     grid, labels = _grid(spark, d)
-    return refine.mean_explained(refine.run(grid, labels, "post_merge", M, K, ITERATIONS).explained_frame(spark)).withColumn("explained", r6("explained"))
+    return refine.mean_explained(refine.run(grid, labels, "post_merge", M, K).explained_frame(spark)).withColumn("explained", r6("explained"))
 
 
 @query
 def sweep_results(spark: SparkSession, d: str) -> DataFrame:
     grid, labels = _grid(spark, d)
-    found = refine.results_frame(spark, refine.sweep(grid, labels, ["post_merge", "integrated"], [5, 10], K, 2))
+    found = refine.results_frame(spark, refine.sweep(grid, labels, list(Refinement.strategies), list(Refinement.dimensions), K))
     return found.withColumns({"start_cost": F.round("start_cost", 5), "best_cost": F.round("best_cost", 5)})
 
 
