@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import SparkContext
+from pyspark import SparkContext, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """As cut(), for larger rows: a compressed Parquet table in the shared folder. It goes when the driver ends, or by clean_up()."""
-    spark = frame.sparkSession
-    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+def reused(frame: DataFrame) -> DataFrame:
+    """The frame, kept on the executors' disks from its first use on, for plans that read it several times.
+
+    Its lineage stays, so what a lost executor held is made anew. The condition is always true and goes when the
+    plan is optimised; it keeps Spark from taking an earlier table of an equal plan, whose files may have changed.
+    """
+    tag = F.lit(uuid.uuid4().hex)
+    frame = frame.where(tag == tag).persist(StorageLevel.DISK_ONLY)
+    _held.setdefault(frame.sparkSession.sparkContext.applicationId, []).append(frame)
+    return frame
+
+
+_held: dict[str, list[DataFrame]] = {}
 
 
 def tables_dir(spark: SparkSession) -> str:
@@ -51,7 +58,9 @@ def _delete(folder: str) -> None:
 
 
 def clean_up(spark: SparkSession) -> None:
-    """Delete the tables that operators have written so far. Results that haven't been read to the end may still need them."""
+    """Free the tables that operators hold or have written so far. Results that haven't been read to the end make what they need anew; those that read a written table fail."""
+    for frame in _held.pop(spark.sparkContext.applicationId, []):
+        frame.unpersist()
     _delete(tables_dir(spark))
 
 
@@ -71,13 +80,6 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(at, rows)
 
 
-def lean(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows than by default, since a row is a whole text. A session with its own setting keeps it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
-
-
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 

@@ -9,7 +9,7 @@ one entry from each table, so scoring is a handful of vectorised lookups.
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,43 +38,55 @@ _UPPER = slice(65, 91)
 _MARKS = b"!#$%&*+/<=>?@\\^_`{|}~"
 
 
-#: Longer texts are figured in stretches of about so many bytes.
-STRETCH = 4 << 20
+#: Words are listed for so many bytes at a time.
+STRETCH = 1 << 20
 
 
 def features(text: bytes, stretch: int = STRETCH) -> list[float]:
     """The figures of one whole text; all of them are defined for empty texts.
 
-    A text longer than `stretch` has the means of its stretches' figures, weighted by their bytes,
-    and its own size, number of words and longest word.
+    A long text is read in stretches. What is kept of them are sums and digests of words, pairs and
+    lines, from which the figures are made once, so they don't depend on the size of a stretch.
     """
-    if len(text) > stretch:
-        parts = list(stretches(text, stretch))
-        each = np.array([features(x, len(x)) for x in parts])
-        out = np.average(each, axis=0, weights=[len(x) for x in parts])
-        out[:2], out[4] = np.log1p(np.expm1(each[:, :2]).sum(axis=0)), each[:, 4].max()
-        return out.tolist()
     n = len(text)
     if not n:
         return [0.0] * len(FEATURES)
-    hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    words = text.split()
-    m = len(words)
-    lengths = np.fromiter(map(len, words), np.int64, m) if m else np.zeros(1, np.int64)
-    counts = Counter(words)
-    each = np.fromiter(counts.values(), np.float64, len(counts)) if m else np.ones(1)
-    lines = [x for x in text.split(b"\n") if x]
+    hist = np.zeros(256, np.int64)
+    m = total = squares = longest = marked = upper = title = same = 0
+    words_seen, pairs_seen, last = [], [], []
+    for part in stretches(text, stretch):
+        hist += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+        words = part.split()
+        if not words:
+            continue
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        m, total, squares, longest = m + len(words), total + int(lengths.sum()), squares + int((lengths * lengths).sum()), max(longest, int(lengths.max()))
+        marked, upper, title = marked + sum(w[-1] in _MARKS for w in words), upper + sum(map(bytes.isupper, words)), title + sum(map(bytes.istitle, words))
+        codes = np.array(last + list(map(hash, words)), np.int64)
+        same += int((codes[1:] == codes[:-1]).sum())
+        words_seen.append(np.unique(codes[len(last) :], return_counts=True))
+        pairs_seen.append(np.unique(codes[:-1] * np.int64(0x5851F42D4C957F2D) + codes[1:]))
+        last = [int(codes[-1])]
+    each = np.ones(1)
+    if m:
+        codes, counts = np.concatenate([c for c, _ in words_seen]), np.concatenate([k for _, k in words_seen])
+        each = np.sort(np.bincount(np.unique(codes, return_inverse=True)[1], counts))  # in an order that doesn't depend on the digests
+    pairs = len(pairs_seen[0] if len(pairs_seen) == 1 else np.unique(np.concatenate(pairs_seen))) if m else 0
+    n_lines, lines = 0, set()
+    for line in io.BytesIO(text):
+        if line := line.rstrip(b"\n"):
+            n_lines += 1
+            lines.add(hash(line))
     share = hist[hist > 0] / n
     words_or_1 = max(m, 1)
-    pairs = len(set(zip(words, words[1:], strict=False)))
     p = each / each.sum()
     return [
-        np.log1p(n), np.log1p(m), lengths.mean(), lengths.std(), np.log1p(lengths.max()),
+        np.log1p(n), np.log1p(m), total / words_or_1, (max(0, m * squares - total * total)) ** 0.5 / words_or_1, np.log1p(longest),
         hist[_UPPER].sum() / n, hist[48:58].sum() / n, hist[128:].sum() / n, (hist[32] + hist[9:14].sum()) / n,
         hist[10] / words_or_1, hist[46] / words_or_1, hist[44] / words_or_1, hist[33] / words_or_1, hist[124] / words_or_1, (hist * _SYMBOLS).sum() / words_or_1,
-        sum(w[-1] in _MARKS for w in words) / words_or_1, sum(map(bytes.isupper, words)) / words_or_1, sum(map(bytes.istitle, words)) / words_or_1,
-        len(counts) / words_or_1, each.max() / words_or_1, sum(a == b for a, b in zip(words, words[1:], strict=False)) / words_or_1,
-        pairs / max(m - 1, 1), len(set(lines)) / max(len(lines), 1),
+        marked / words_or_1, upper / words_or_1, title / words_or_1,
+        (len(each) if m else 0) / words_or_1, each.max() / words_or_1, same / words_or_1,
+        pairs / max(m - 1, 1), len(lines) / max(n_lines, 1),
         -(share * np.log(share)).sum(), -(p * np.log(p)).sum(), (hist[40] + hist[41] + hist[91] + hist[93]) / words_or_1, text.count(b"://") / words_or_1,
     ]
 
@@ -201,20 +213,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from at most `sample` labelled documents that aren't held out.
 
     A document labelled more than once has the mean of its labels, rounded half up; null labels don't
-    count. Only the sample's ids are broadcast and only its features come to the driver.
+    count; of rows that repeat an id the one with the least figures does. Only the sample's ids are
+    broadcast and only its features come to the driver.
     """
     known = columns_of(labels, "doc_id", TARGET_COLUMN).where(F.col(TARGET_COLUMN).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(TARGET_COLUMN) >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = columns_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
+    rows = columns_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            x = feature_matrix(byte_texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["label", *FEATURES])
+            x = feature_matrix(byte_texts(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["doc_id", "label", *FEATURES])
 
-    figures = rows.mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES))
-    found: pd.DataFrame = figures.limit(2 * sample).toPandas()  # more only if rows repeat an id
+    figures = rows.mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES))
+    # one row an id, the least, so that at most `sample` rows come here however often an id is repeated
+    found: pd.DataFrame = figures.groupBy("doc_id").agg(F.min(F.struct("label", *FEATURES)).alias("x")).select("x.*").toPandas()
     found = found.sort_values(["label", *FEATURES])  # the same model whatever order the rows came in
     return train(found[list(FEATURES)].to_numpy(np.float64).reshape(len(found), len(FEATURES)), found["label"].to_numpy(np.float64))
 

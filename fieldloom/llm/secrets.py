@@ -8,16 +8,22 @@ there the expression runs. Rules without mandatory trigrams run over every docum
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, reused
 from .trigrams import Query, compile_query
 
 
+#: Entries folded at once in running sums; code points of a chunk of a text that is masked.
+BLOCK, CHUNK = 128, 1024
+#: Up to so many candidates (an id and the names of a few rules each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_CANDIDATES = 500_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """pattern: for Java and Python alike; matches whose `group` has fewer than `least` characters are dropped, not retried."""
@@ -72,12 +78,40 @@ def candidates(postings: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return by_doc.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _running(steps: Column, block: int = 256) -> Column:
-    """Running sums of an array. Within blocks each sum is made anew, so the work is a block's length an entry."""
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / block).cast("int")), lambda k: F.struct(k.alias("k"), add(F.slice(steps, F.lit(1), k * block)).alias("sum")))
-    inner = F.transform(starts, lambda b: F.transform(F.sequence(F.lit(1), F.least(F.lit(block), F.size(steps) - b["k"] * block)), lambda i: b["sum"] + add(F.slice(steps, b["k"] * block + 1, i))))
-    return F.when(F.size(steps) > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is made once, however often the body names it (also inside lambdas)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(values: Column, fold: Callable[[Column], Column]) -> Column:
+    """fold of each BLOCK values that follow each other."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: fold(F.slice(values, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _running(values: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """Running folds of an array of numbers (of none: none). Three levels of blocks bound the work an entry by a few blocks' length, up to BLOCK^3 entries."""
+
+    def level(values: Column, above: Column | None) -> Column:
+        """Running folds, those of the blocks before coming from above."""
+
+        def one(i: Column) -> Column:
+            start = F.floor(i / BLOCK).cast("int")
+            own = fold(F.slice(values, start * BLOCK + 1, i - start * BLOCK + 1))
+            return own if above is None else F.when(start == 0, own).otherwise(join(F.get(above, start - 1), own))
+
+        return F.transform(F.sequence(F.lit(0), F.size(values) - 1), one)
+
+    def whole(values: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: fold(F.slice(values, F.lit(1), i + 1)))
+        few = F.size(values) <= BLOCK
+        blocks = lambda b: _let(_blocks(b, fold), lambda c: _let(F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: fold(F.slice(c, F.lit(1), i + 1))), lambda c: level(b, c)))
+        return F.when(F.size(values) == 0, values).when(few, every).otherwise(_let(_blocks(values, fold), lambda b: _let(blocks(b), lambda b: level(values, b))))
+
+    return whole(values)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def spans_of(rule: Rule, rank: int, text: Column) -> Column:
@@ -86,14 +120,19 @@ def spans_of(rule: Rule, rank: int, text: Column) -> Column:
     The text is split at the matches, so a match starts after all gaps up to it and all matches before it.
     """
     pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    gaps = F.split(text, rule.pattern, -1)
-    before = F.concat(F.array(F.lit(0)), F.transform(whole, lambda x: F.length(x)))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.slice(before, F.lit(1), F.size(whole)), lambda g, m: F.length(g) + m)
-    rows = F.arrays_zip(_running(steps).alias("start"), whole.alias("whole"), kept.alias("kept"))
-    rows = F.filter(rows, lambda x: F.length(x["kept"]) >= rule.least)
-    return F.transform(rows, lambda x: F.struct(x["start"].cast("long").alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["whole"])).cast("long").alias("end"), F.lit(rule.kind).alias("kind")))
+    lengths = lambda found: F.transform(found, lambda x: F.length(x).cast("long"))
+    whole = lengths(F.regexp_extract_all(text, pattern, F.lit(0)))
+    group = lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))) if rule.group else None
+
+    def placed(whole: Column) -> Column:
+        gaps = lengths(F.split(text, rule.pattern, -1))
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: g + m)
+        ends = _let(steps, lambda x: _running(x, _total, lambda a, b: a + b))
+        rows = F.arrays_zip(ends.alias("end"), whole.alias("whole"), (whole if group is None else group).alias("kept"))
+        rows = F.filter(rows, lambda x: x["kept"] >= rule.least)
+        return F.transform(rows, lambda x: F.struct((x["end"] - x["whole"]).alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+
+    return _let(whole, placed)
 
 
 NO_SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
@@ -103,7 +142,10 @@ def find(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *MORE_RULES)) ->
     """The rows of docs as `row` (a struct of all their columns), their text (null: empty) and `spans`, sorted by start, then rule.
 
     docs: doc_id, text and any other columns. Rows that repeat an id are each judged on their own text.
-    Documents without id are verified whenever one of them is a candidate. No rows in, no rows out.
+    Documents without id are verified whenever one of them is a candidate. The work on a very long text
+    grows in proportion to its length and its spans; a text's spans are held together. Matches of one
+    rule never overlap; of matches that start together the rule listed first comes first. No rows in,
+    no rows out.
     """
     queries = {r.kind: compile_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if q.kind != "any"}
@@ -111,7 +153,9 @@ def find(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *MORE_RULES)) ->
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), text.alias("text"))
     if asked:
-        few = candidates(build_index(docs, sorted(vocabulary)), asked).withColumnRenamed("doc_id", "candidate")
+        few = reused(candidates(build_index(docs, sorted(vocabulary)), asked).withColumnRenamed("doc_id", "candidate"))
+        # candidates are a few in a hundred documents; while they are few in number too, no text needs to move
+        few = F.broadcast(few) if few.count() <= BROADCAST_CANDIDATES else few
         rows = rows.join(few, rows["doc_id"].eqNullSafe(few["candidate"]), "left")
     else:
         rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
@@ -135,17 +179,32 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *MORE_RULES)) ->
     return found.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, which is cut into chunks, so that its middle is reached without reading from its start."""
+    a, b = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    at = (start - a * CHUNK).cast("int") + 1
+    first = F.get(chunks, a)
+    several = F.concat(F.substring(first, at, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, b - a - 1), ""), F.substring(F.get(chunks, b), F.lit(1), (end - b * CHUNK).cast("int")))
+    return F.when(start >= end, F.lit("")).when(a == b, F.substring(first, at, (end - start).cast("int"))).otherwise(several)
+
+
+def _masked(chunks: Column, spans: Column, mark: str) -> Column:
+    """The text with each stretch covered by spans replaced; spans are in order of their starts, and one that begins inside what is masked already only lengthens the stretch."""
+
+    def joined(reach: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(reach, i - 1))
+        gaps = F.transform(spans, lambda x, i: F.when((i == 0) | (x["start"] >= before(i)), _piece(chunks, before(i), x["start"])))
+        size = (F.size(chunks) - 1) * CHUNK + F.length(F.get(chunks, F.size(chunks) - 1))
+        return F.array_join(F.concat(F.array_compact(gaps), F.array(_piece(chunks, F.get(reach, F.size(reach) - 1), size.cast("long")))), mark)
+
+    reach = _let(F.transform(spans, lambda x: x["end"]), lambda ends: _running(ends, F.array_max, F.greatest))
+    return _let(reach, joined)
+
+
 def redact(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *MORE_RULES), mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs with every stretch of text that spans cover replaced by `mark`; other columns and rows stay. Null texts stay null."""
     found = find(docs, rules)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        # a span that begins inside what is masked already only lengthens the masked stretch
-        gap = F.when(x["start"] >= state["at"], F.concat(F.substring(F.col("text"), (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
-
-    masked = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+    masked = _let(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: _masked(chunks, F.col("spans"), mark))
     found = found.withColumn("masked", F.when(F.size("spans") > 0, masked))
     columns = [F.coalesce("masked", F.col("row")["text"]).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, cut, lean, parallelism, small_batches, written
+from .common import byte_texts, columns_of, parallelism, reused, small_batches
 from .parsing import PIECE, Parse, Rolling, anchors
 
 #: Bytes of a trigger, and the positions among which one is chosen.
@@ -195,17 +195,17 @@ def repeated(rows: DataFrame, length: int = 400, span: int = SPAN, group: int =
     the exchange of the texts that is made here.
     """
     parts = parallelism(rows.sparkSession)
-    parsed = written(_parsed(rows.where(F.octet_length("text") >= length), length, span))
-    cores = cut(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
+    parsed = reused(_parsed(rows.where(F.octet_length("text") >= length), length, span))
+    cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     # dealt anew by document, so that no file holds a core's rows alone and what is skewed can be split later
-    again = written(parsed.join(cores, "core").repartition(parts, "key", "low"))
+    again = reused(parsed.join(cores, "core").repartition(parts, "key", "low"))
     first = F.min(F.struct("key", "low", "width")).alias("at")
-    contexts = written(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), first))
+    contexts = reused(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), first))
     often = contexts.where("n > 1").select("core", "context")
     whole = again.join(often, ["core", "context"]).select("key", "low", (F.col("low") + F.col("width")).alias("high"))
     mixed = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("open")).where("kinds > 1 and open").select("core", (F.col("kinds") > group).alias("crowded"))
-    asked = contexts.join(cut(mixed), "core").select("core", "crowded", "at.*", (F.col("n") == 1).alias("own"))
-    by_doc = written(asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "low", "width", "own")).alias("asked")))
+    asked = contexts.join(mixed, "core").select("core", "crowded", "at.*", (F.col("n") == 1).alias("own"))
+    by_doc = reused(asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "low", "width", "own")).alias("asked")))
     held = rows.join(by_doc, "key")
     found = whole.unionByName(_ordered(_contexts(held.where("not crowded"), length).repartition(parts, "core").sortWithinPartitions("core"), length))
     if by_doc.where("crowded").limit(1).count():
@@ -244,7 +244,6 @@ def deduplicate(docs: DataFrame, length: int = 400, span: int = SPAN, group: int
     UTF-8. No rows in, no rows out.
     """
     rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lean(docs.sparkSession)
     rows = _keyed(rows)
     joined = rows.join(repeated(rows, length, span, group), "key", "left").select("doc_id", "text", "spans")
 

@@ -57,6 +57,75 @@ def test_mix_meets_its_targets(spark):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(7)).collect()} == {r["doc_id"]: r["taken"] for r in found}
 
 
+def brute_mix(rows, weights=(5, 2, 1), ceiling=3, power=0.5):
+    """copies by row, from (key, size, u, tie, row) of all documents, one after the other."""
+    sizes = {}
+    for key, size, *_ in rows:
+        sizes[key] = sizes.get(key, 0) + size
+    goal, copies = brute_targets(sizes, weights, ceiling), [0] * len(rows)
+    for key, total in sizes.items():
+        mine = [i for i, r in enumerate(rows) if r[0] == key and r[1] > 0]
+        if not mine:
+            continue
+        whole = int(goal[key] / total + 1e-9)
+        rest = goal[key] - whole * total
+        for i in mine:
+            copies[i] = whole
+        if rest < 1:
+            continue
+        sure = set()
+        while True:
+            scale = (rest - sum(rows[i][1] for i in sure)) / sum(rows[i][1] ** (1 + power) for i in mine if i not in sure)
+            more = {i for i in mine if i not in sure and scale * rows[i][1] ** power > 1}
+            if not more:
+                break
+            sure.add(max(more, key=lambda i: rows[i][1]))
+            sure |= {i for i in mine if rows[i][1] == max(rows[j][1] for j in more)}
+        gap = rest - sum(rows[i][1] for i in sure)
+        near = sorted(rows[i][1] for i in mine)[(len(mine)) // 2 - (1 - len(mine) % 2)] / 2
+
+        def place(i):
+            p = min(1 - 1e-6, max(1e-9, scale * rows[i][1] ** power))
+            q = rows[i][2] / (1 - rows[i][2]) / (p / (1 - p))
+            return int(q / (1 + q) * 2**50), rows[i][3], rows[i][4]
+
+        for i in sure:
+            copies[i] += 1
+        order = [(u, *place(i), i) for u in range(max(1, ceiling - whole)) for i in mine if u or i not in sure]
+        left, most, done = [], gap, False
+        for u, *at, i in sorted(order):
+            if not done and rows[i][1] <= gap:
+                copies[i] += 1
+                gap -= rows[i][1]
+                continue
+            left.append((rows[i][1], u, *at, i))
+            if rows[i][1] <= most:  # the first that doesn't fit: the next ones are looked at only if much is missing
+                most, done = gap, done or gap <= near
+        if gap > near and (fit := [x for x in left if x[0] < 2 * gap]):
+            copies[min(fit)[-1]] += 1
+    return copies
+
+
+@pytest.mark.parametrize("case", ["many", "dominating", "repeats", "ties"])
+def test_mix_equals_brute_force(spark, case):
+    rng = random.Random(case)
+    if case == "many":
+        texts = [(words(rng, rng.choice([3, 20, 60, 400])), rng.choice("aabbbcZ")) for _ in range(400)]
+    elif case == "dominating":
+        texts = [(words(rng, 8000), "a")] + [(words(rng, rng.randint(5, 25)), "a") for _ in range(150)] + [(words(rng, rng.randint(20, 90)), rng.choice("bc")) for _ in range(150)]
+    elif case == "repeats":
+        one = words(rng, 90)
+        texts = [(one, "a")] * 300 + [(words(rng, rng.randint(1, 60)), rng.choice("abc")) for _ in range(200)]
+    else:
+        texts = [(words(rng, 30), rng.choice("ab")) for _ in range(200)]
+    docs = spark.createDataFrame([(0 if t == texts[0][0] else k, t, s) for k, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    measured = [tuple(r) for r in mixing._measured(docs, 6).select("key", "size", "u", "tie", "row", "doc_id").collect()]
+    want = brute_mix([r[:5] for r in measured])
+    found = sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs).collect())
+    assert found == sorted((r[5], c) for r, c in zip(measured, want, strict=True))
+    assert max(c for _, c in found) <= 3
+
+
 def test_mix_of_odd_documents(spark):
     docs = documents(spark, odd_texts(), extra=True)
     rows = mixing.mix(docs).collect()
@@ -143,12 +212,71 @@ def test_quality_of_odd_documents(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
-def test_long_texts_are_figured_in_stretches():
-    text = words(random.Random(4), 4000).encode()
-    one, many = quality.features(text), quality.features(text, 1000)
-    assert len(one) == len(many) == len(quality.FEATURES)
-    assert one[:2] == pytest.approx(many[:2], abs=0.01) and one[4] == many[4]
-    assert one[2] == pytest.approx(many[2], rel=0.05)
+@pytest.mark.parametrize("stretch", [1, 50, 1000, 10_000])
+def test_figures_don_t_depend_on_stretches(stretch):
+    rng = random.Random(4)
+    for text in [*odd_texts(), words(rng, 4000), "\n".join([words(rng, 40)] * 9), "Ab! Ab! CD. CD. " * 50]:
+        data = (text or "").encode()
+        assert quality.features(data, stretch) == quality.features(data)
+
+
+def test_figures_equal_plain_ones():
+    rng = random.Random(5)
+    for text in [words(rng, 300), "A b! b! Cd. CD CD\n\nA b!\nx\nx\n" * 3]:
+        data, n = text.encode(), len(text.encode())
+        seq = data.split()
+        counts = np.array(sorted(seq.count(w) for w in set(seq)))
+        p = counts / len(seq)
+        lines = [x for x in data.split(b"\n") if x]
+        found = dict(zip(quality.FEATURES, quality.features(data), strict=True))
+        want = {
+            "log_bytes": np.log1p(n), "log_words": np.log1p(len(seq)), "mean_word": np.mean([len(w) for w in seq]), "sd_word": np.std([len(w) for w in seq]),
+            "distinct_words": len(counts) / len(seq), "top_word": counts.max() / len(seq), "repeats": sum(a == b for a, b in itertools.pairwise(seq)) / len(seq),
+            "distinct_pairs": len(set(itertools.pairwise(seq))) / (len(seq) - 1), "distinct_lines": len(set(lines)) / len(lines), "word_entropy": -(p * np.log(p)).sum(),
+            "title_words": sum(map(bytes.istitle, seq)) / len(seq), "upper_words": sum(map(bytes.isupper, seq)) / len(seq),
+        }
+        assert {k: found[k] for k in want} == pytest.approx(want)
+
+
+def test_repeated_labelled_rows_don_t_crowd_others_out(spark):
+    rng = random.Random(6)
+    texts = [words(rng, 30) if k % 2 else "!!! " * 30 + words(rng, 3) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    once = documents(spark, texts)
+    crowded = once.unionByName(once.where("doc_id = 3").crossJoin(spark.range(500)).drop("id"))
+    scores = lambda docs: {r["doc_id"]: r["score"] for r in quality.classify(docs, labels, sample=25).collect()}
+    assert scores(once) == scores(crowded)
+
+
+def brute_leaf_table(g, h, ridge, least, depth):
+    """The best tree of one feature by trying every cut."""
+    value = g.sum() / (h.sum() + ridge)
+    best = None
+    for k in range(1, len(g)):
+        if depth and h[:k].sum() >= least and h[k:].sum() >= least:
+            gain = g[:k].sum() ** 2 / (h[:k].sum() + ridge) + g[k:].sum() ** 2 / (h[k:].sum() + ridge)
+            if gain > g.sum() ** 2 / (h.sum() + ridge) + 1e-9 and (best is None or gain > best[0] + 1e-12):
+                best = (gain, k)
+    if best is None:
+        return [value] * len(g)
+    k = best[1]
+    return [*brute_leaf_table(g[:k], h[:k], ridge, least, depth - 1), *brute_leaf_table(g[k:], h[k:], ridge, least, depth - 1)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_one_step_of_training_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x = np.zeros((60, len(quality.FEATURES)))
+    x[:, 0] = rng.integers(0, 9, 60)
+    y = (x[:, 0] + rng.normal(size=60) > 4).astype(float)
+    model = quality.train(x, y, rounds=1, n_pairs=0, pair_rounds=0)
+    base = np.log((y.sum() + 0.5) / (60 - y.sum() + 0.5))
+    p = 1 / (1 + np.exp(-base))
+    bins = np.searchsorted(model.cuts[0], x[:, 0], side="right")
+    g = np.array([(y[bins == b] - p).sum() for b in range(len(model.tables[0]))])
+    h = np.array([(bins == b).sum() * p * (1 - p) for b in range(len(model.tables[0]))])
+    assert model.base == pytest.approx(base)
+    assert model.tables[0] == pytest.approx(0.1 * np.array(brute_leaf_table(g, h, 1.0, 2.0, 2)))
 
 
 def test_model_learns_an_interaction():
@@ -263,12 +391,15 @@ def test_pipeline_of_no_documents(spark, small_dir):
     assert odd.count() > 0
 
 
-def test_written_tables_can_be_cleaned_up(spark):
-    from fieldloom.llm.common import clean_up, tables_dir, written
+def test_held_tables_can_be_cleaned_up(spark):
+    from fieldloom.llm.common import clean_up, reused, tables_dir
 
-    assert written(spark.range(5).toDF("n")).count() == 5
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    assert files.exists(path)
+    docs = spark.range(5).toDF("n")
+    one, other = reused(docs), reused(docs)
+    assert one.count() == other.count() == 5 and one.is_cached
+    assert not docs.is_cached  # an equal plan doesn't read the held table
+    spark.range(3).write.parquet(f"{tables_dir(spark)}/x")
     clean_up(spark)
-    assert not files.exists(path)
+    assert not one.is_cached and one.count() == 5
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

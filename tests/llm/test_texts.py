@@ -1,10 +1,13 @@
 """Operators on documents against brute force, and their odd cases."""
 
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fieldloom.llm import pii, secrets, simhash, substrings
 from fieldloom.llm.trigrams import compile_query
@@ -124,6 +127,51 @@ def test_redaction_masks_spans_only(spark):
     assert not secret_spans(found[3])
 
 
+def test_many_spans_in_one_text(spark):
+    """20,000 spans, in linear time: neither the positions nor the masked text are made anew for each."""
+    rng = random.Random(8)
+    text = " ".join(f"é{rng.choice(['w', 'xyz', 'some'])} token={'a%09d' % rng.randrange(10**9)}" for _ in range(20_000))
+    docs = documents(spark, [text, "token=abcdefgh", "clean"])
+    base = secret_spans(text)
+    began = time.time()
+    found = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert time.time() - began < 40
+    assert found[0]["n_assign"] == 20_000 and found[0]["base_sha256"] == sha(listed(base))
+    gaps, at = [], 0
+    for a, b, _ in base:
+        gaps.append(text[at:a])
+        at = b
+    assert masked == {0: "[SECRET]".join([*gaps, text[at:]]), 1: "[SECRET]", 2: "clean"}
+
+
+def test_secrets_in_a_long_text(spark):
+    """5 MB in one text, spans far apart and at both ends, overlapping ones among them."""
+    rng = random.Random(9)
+    filler = words(rng, 60_000)
+    text = " ".join(["token=abcdefgh1", filler, SECRETS[1], filler * 10, "\U0001f600 secret: " + "0123456789abcdef" * 3, filler, SECRETS[4]])
+    assert len(text) > 4_000_000
+    docs = documents(spark, [text])
+    found = secrets.scan(docs).first()
+    assert found["base_sha256"] == sha(listed(secret_spans(text)))
+    assert not secret_spans(secrets.redact(docs).first()["text"])
+
+
+def test_candidates_joined_by_a_shuffle_give_the_same(spark, monkeypatch):
+    docs = documents(spark, [*odd_texts(), *SECRETS])
+    want = sorted(map(str, secrets.scan(docs).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST_CANDIDATES", 0)
+    assert sorted(map(str, secrets.scan(docs).collect())) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000, 40_000])
+def test_running_sums(spark, n):
+    values = [(k * 7919) % 13 for k in range(n)]
+    frame = spark.createDataFrame([(values,)], "v array<long>")
+    found = frame.select(secrets._running(F.col("v"), secrets._total, lambda a, b: a + b).alias("s")).first()["s"]
+    assert found == list(itertools.accumulate(values))
+
+
 @pytest.mark.parametrize("rule", [*secrets.BASE_RULES, *secrets.MORE_RULES], ids=lambda r: r.kind)
 def test_trigram_queries_hold_for_every_match(rule):
     import re
@@ -172,6 +220,79 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(found[43 + k] == "" for k in range(3))
 
 
+def test_contexts_with_few_seeds(spark):
+    """Five seeds vouch for two unseen identifiers; words in the same place speak against a pattern."""
+    rng = random.Random(4)
+    seeded = [f"{words(rng, 30)} account holder: user{k}@mail.example {words(rng, 30)}" for k in range(5)]
+    unseen = [f"{words(rng, 30)} account holder: QX-{k}55-71 {words(rng, 30)}" for k in range(2)]
+    mixed = [f"{words(rng, 9)} write often to {x} {words(rng, 9)}" for x in [f"q{k}@mail.example" for k in range(6)] + ["nobody", "friends", "home", "them", "AB-777-12"]]
+    texts = seeded + unseen + mixed
+    found = {r["doc_id"]: r["spans"] for r in pii.extract(documents(spark, texts)).collect()}
+    for k, text in enumerate(unseen):
+        at = text.index("QX-")
+        assert found[5 + k] == f"context:{at}:{at + 9}"
+    assert all("context" not in found[7 + k] for k in range(len(mixed)))
+
+
+def test_chains_of_contexts(spark):
+    """Instances found in one context make another one trusted, for as many rounds as it takes."""
+    rng = random.Random(5)
+    fresh = [f"ID{k}77{k}" for k in range(27)]
+    texts = [f"{words(rng, 5)} step nought {x} {words(rng, 5)}" for x in [f"u{k}@m.example" for k in range(40)] + fresh[:9]]
+    for g in range(6):  # each place has nine instances of the places before and three new ones
+        texts += [f"{words(rng, 5)} step{'abcdef'[g]} next {x} {words(rng, 5)}" for x in fresh[3 * g : 3 * g + 12]]
+    found = {r["doc_id"]: r["spans"] for r in pii.extract(documents(spark, texts), confidence=0.6).collect()}
+    assert all("context" in found[k] for k, t in enumerate(texts) if "ID" in t)
+
+
+def brute_bootstrap(edges, totals, confidence, support, unseen, prior):
+    scores = {i: 1.0 for _, i, seed, _ in edges if seed}
+    seeds, before = dict(scores), -1
+    while True:
+        trust = {}
+        for p in {e[0] for e in edges}:
+            mine = [e for e in edges if e[0] == p]
+            known, filled = sum(scores.get(i, 0) * n for _, i, _, n in mine), sum(e[3] for e in mine)
+            t = known / (known + max(0, totals[p] - filled) + unseen * (filled - known) + prior)
+            if t >= confidence and sum(scores.get(e[1], 0) for e in mine) >= support:
+                trust[p] = t
+        if len(trust) == before:
+            return trust, scores
+        before, scores = len(trust), dict(seeds)
+        for i in {e[1] for e in edges if e[0] in trust} - set(seeds):
+            scores[i] = 1 - float(np.prod([1 - trust[e[0]] for e in edges if e[1] == i and e[0] in trust]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrap_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    kinds = [rng.random() < 0.6 for _ in range(60)]
+    edges = sorted({(p, i, kinds[i]) for p in range(12) for i in rng.sample(range(60), rng.randint(2, 25))})
+    edges = [(*e, rng.randint(1, 4)) for e in edges]
+    totals = {p: sum(e[3] for e in edges if e[0] == p) + rng.choice([0, 0, 1, 5, 90]) for p in range(12)}
+    figures = dict(confidence=0.5, support=3, unseen=0.25, prior=0.5)
+    want_trust, want_scores = brute_bootstrap(edges, totals, **figures)
+    trust, scores = pii.bootstrap(spark.createDataFrame(edges, "pattern long, instance long, seed boolean, times long"), spark.createDataFrame(list(totals.items()), "pattern long, places long"), **figures)
+    assert {r["pattern"]: r["trust"] for r in trust.collect()} == pytest.approx(want_trust)
+    assert {r["instance"]: r["score"] for r in scores.collect()} == pytest.approx(want_scores)
+
+
+@pytest.mark.parametrize("step", [1, 40, 1000])
+def test_places_of_patterns_don_t_depend_on_parts(step):
+    text = " ".join([words(random.Random(7), 60), "Tel: 12345 a b c: d e=", words(random.Random(8), 9)])
+    count = lambda s: sorted(np.concatenate(list(pii.places(text, pii.Codes(), s))).tolist())
+    assert count(step) == count(1 << 20)
+    tokens = [(m.start(), m.end()) for m in __import__("re").finditer(r"\S+", text)]
+    every = set(count(1 << 20))
+    assert all(p in every for a, b in tokens[2:-1] for p in pii._contexts(text, a, b))
+
+
+def test_personal_data_in_a_long_text(spark):
+    text = (words(random.Random(1), 40_000) + " ").join(PERSONAL * 4)
+    found = pii.extract(documents(spark, [text])).first()
+    assert len(text) > 4_000_000 and found["base_sha256"] == sha(listed(personal_spans(text)))
+
+
 # --- substrings ----------------------------------------------------------------------------------------------
 
 
