@@ -35,6 +35,12 @@ def reused(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def freed(*frames: DataFrame) -> None:
+    """Give up frames that reused() gave, once what was made of them is held itself."""
+    for frame in frames:
+        frame.unpersist()
+
+
 _held: dict[str, list[DataFrame]] = {}
 
 

@@ -9,7 +9,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes hashed at once; longer texts are cut into overlapping pieces.
-PIECE = 1 << 18
+PIECE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

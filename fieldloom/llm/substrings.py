@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, parallelism, reused, small_batches
+from .common import byte_texts, columns_of, freed, parallelism, reused, small_batches
 from .parsing import PIECE, Parse, Rolling, anchors
 
 #: Bytes of a trigger, and the positions among which one is chosen.
 TRIGGER, SPAN = 16, 320
 #: Bytes of contexts ordered at once.
-ORDERED = 1 << 20
+ORDERED = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -196,19 +196,23 @@ def repeated(rows: DataFrame, length: int = 400, span: int = SPAN, group: int =
     """
     parts = parallelism(rows.sparkSession)
     parsed = reused(_parsed(rows.where(F.octet_length("text") >= length), length, span))
-    cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # held, so that both sides of the joins with it are plain exchanges, whose skewed partitions Spark can split
+    cores = reused(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     # dealt anew by document, so that no file holds a core's rows alone and what is skewed can be split later
     again = reused(parsed.join(cores, "core").repartition(parts, "key", "low"))
+    again.count()
+    freed(parsed, cores)
     first = F.min(F.struct("key", "low", "width")).alias("at")
     contexts = reused(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), first))
     often = contexts.where("n > 1").select("core", "context")
     whole = again.join(often, ["core", "context"]).select("key", "low", (F.col("low") + F.col("width")).alias("high"))
     mixed = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("open")).where("kinds > 1 and open").select("core", (F.col("kinds") > group).alias("crowded"))
+    mixed = reused(mixed)
     asked = contexts.join(mixed, "core").select("core", "crowded", "at.*", (F.col("n") == 1).alias("own"))
-    by_doc = reused(asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "low", "width", "own")).alias("asked")))
+    by_doc = asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "low", "width", "own")).alias("asked"))
     held = rows.join(by_doc, "key")
     found = whole.unionByName(_ordered(_contexts(held.where("not crowded"), length).repartition(parts, "core").sortWithinPartitions("core"), length))
-    if by_doc.where("crowded").limit(1).count():
+    if mixed.where("crowded").limit(1).count():
         found = found.unionByName(_counted(_contexts(held.where("crowded"), length), length))
     return found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
