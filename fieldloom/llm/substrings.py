@@ -26,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, freed, parallelism, reused, small_batches
+from .common import byte_texts, columns_of, freed, likely, parallelism, reused, small_batches
 from .parsing import PIECE, Parse, Rolling, anchors
 
+#: A range is kept as one number, its first position times WIDE and its width (less 1).
+WIDE = 512
+#: Bits of the digests of core and context that are kept; together they tell contexts apart.
+CORE_BITS, CONTEXT_BITS = 48, 56
 #: Bytes of a trigger, and the positions among which one is chosen.
 TRIGGER, SPAN = 16, 320
 #: Bytes of contexts ordered at once.
@@ -85,32 +89,35 @@ def ranges(texts: list[bytes], length: int, span: int) -> Iterator[dict[str, np.
 
 
 def _parsed(rows: DataFrame, length: int, span: int) -> DataFrame:
-    """key, low, width (of the range, less 1), core, context. rows: key, text."""
+    """key, at (the range), core, context. rows: key, text."""
+    if span > WIDE:
+        raise ValueError(f"span must not exceed {WIDE}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             for x in ranges(byte_texts(batch.column(1)), length, span):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x["text"])), pa.array(x["low"]), pa.array((x["high"] - x["low"]).astype(np.int32)), pa.array(x["core"]), pa.array(x["context"])], ["key", "low", "width", "core", "context"])
+                at = x["low"] * WIDE + x["high"] - x["low"]
+                digests = [x["core"].view(np.uint64) >> np.uint64(64 - CORE_BITS), x["context"].view(np.uint64) >> np.uint64(64 - CONTEXT_BITS)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x["text"])), pa.array(at), *(pa.array(d.view(np.int64)) for d in digests)], ["key", "at", "core", "context"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, low long, width int, core long, context long")
+    return rows.select("key", "text").mapInArrow(run, "key long, at long, core long, context long")
 
 
 def _contexts(asked: DataFrame, length: int) -> DataFrame:
-    """core, key, low, width, own, bytes: the asked contexts with their bytes. asked: key, doc_id, text and asked (their places).
-
-    doc_id isn't used, but keeps the exchange of the texts the same as that of the last step, so that Spark makes it once.
-    """
+    """core, key, low, width, own, bytes: the asked contexts with their bytes. asked: key, text and asked (their places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
             out: list[tuple] = []
-            for key, text, places in zip(batch.column(0).to_pylist(), byte_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                out += [(p["core"], key, p["low"], p["width"], p["own"], text[p["low"] : p["low"] + p["width"] + length]) for p in places]
+            for key, text, places in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for p in places:
+                    low, width = divmod(p["at"], WIDE)
+                    out.append((p["core"], key, low, width, p["own"], text[low : low + width + length]))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "key", "low", "width", "own", "bytes"])
 
-    return asked.select("key", "doc_id", "text", "asked").mapInArrow(run, "core long, key long, low long, width int, own boolean, bytes binary")
+    return asked.select("key", "text", "asked").mapInArrow(run, "core long, key long, low long, width int, own boolean, bytes binary")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,26 +198,26 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
 def repeated(rows: DataFrame, length: int = 400, span: int = SPAN, group: int = 4096) -> DataFrame:
     """key, spans (low, high): where strings of `length` bytes start that start elsewhere too, for documents that have some.
 
-    rows: key (which tells them apart), doc_id, text. A join of the result with the same rows on key uses
-    the exchange of the texts that is made here.
+    rows: key (which tells them apart), doc_id, text.
     """
     parts = parallelism(rows.sparkSession)
-    parsed = reused(_parsed(rows.where(F.octet_length("text") >= length), length, span))
+    rows = rows.where(F.octet_length("text") >= length)
+    parsed = reused(_parsed(rows, length, span))
     # held, so that both sides of the joins with it are plain exchanges, whose skewed partitions Spark can split
     cores = reused(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     # dealt anew by document, so that no file holds a core's rows alone and what is skewed can be split later
-    again = reused(parsed.join(cores, "core").repartition(parts, "key", "low"))
+    again = reused(parsed.join(cores, "core").repartition(parts, "key", "at"))
     again.count()
     freed(parsed, cores)
-    first = F.min(F.struct("key", "low", "width")).alias("at")
-    contexts = reused(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), first))
+    contexts = reused(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first")))
     often = contexts.where("n > 1").select("core", "context")
-    whole = again.join(often, ["core", "context"]).select("key", "low", (F.col("low") + F.col("width")).alias("high"))
+    low, width = F.floor(F.col("at") / WIDE), F.col("at") % WIDE
+    whole = again.join(often, ["core", "context"]).select("key", low.alias("low"), (low + width).alias("high"))
     mixed = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("open")).where("kinds > 1 and open").select("core", (F.col("kinds") > group).alias("crowded"))
     mixed = reused(mixed)
-    asked = contexts.join(mixed, "core").select("core", "crowded", "at.*", (F.col("n") == 1).alias("own"))
-    by_doc = asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "low", "width", "own")).alias("asked"))
-    held = rows.join(by_doc, "key")
+    asked = contexts.join(mixed, "core").select("core", "crowded", "first.*", (F.col("n") == 1).alias("own"))
+    by_doc = reused(asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "at", "own")).alias("asked")))
+    held = likely(rows.select("key", "text"), by_doc.select("key")).join(by_doc, "key")
     found = whole.unionByName(_ordered(_contexts(held.where("not crowded"), length).repartition(parts, "core").sortWithinPartitions("core"), length))
     if mixed.where("crowded").limit(1).count():
         found = found.unionByName(_counted(_contexts(held.where("crowded"), length), length))
