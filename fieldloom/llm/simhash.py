@@ -112,7 +112,7 @@ def links(prints: DataFrame) -> DataFrame:
     replicas = halves.join(F.broadcast(patterns(spark)), ["half", "syndrome"]).select((F.col("bits").bitwiseXOR(F.col("error")) + F.shiftleft(F.col("half").cast("long"), 32)).alias("anchor"), "fp", "home")
     homes = replicas.where("home").select("anchor", F.col("fp").alias("other"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD
-    found = replicas.select("anchor", "fp").join(homes.hint("shuffle_hash"), "anchor").where(close & (F.col("fp") < F.col("other")))
+    found = replicas.select("anchor", "fp").join(homes, "anchor").where(close & (F.col("fp") < F.col("other")))
     return found.select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import balltree, capfilters
 
@@ -34,10 +35,11 @@ def is_usable(v):
     return bool(v) and all(x is not None and math.isfinite(x) for x in v)
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize(("shard_rows", "sample", "waves"), [(64, 200, (1, 5)), (20, 1000, (1, 2, 4, 8)), (16384, 20_000, (1, 5)), (30, 3, ())])
+def test_top_k_equals_brute_force(spark, shard_rows, sample, waves):
     vectors = odd_vectors(np.random.default_rng(1))
     frame = balltree.integer_vectors(rows(spark, vectors))
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in balltree.top_k(frame, frame.where("vec_id % 10 = 0"), 5, shard_rows=64, block_rows=16, leaf=8).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in balltree.top_k(frame, frame.where("vec_id % 10 = 0"), 5, shard_rows=shard_rows, leaf=8, sample=sample, waves=waves).collect()}
     whole = {i: [math.floor(256 * np.float64(np.float32(x))) for x in v] for i, v in enumerate(vectors) if is_usable(v)}
     want = {}
     for q in (i for i in whole if i % 10 == 0):
@@ -53,9 +55,25 @@ def test_top_k_of_few_or_no_rows(spark):
     assert balltree.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
-def test_top_k_rows_that_repeat_an_id_are_one(spark):
-    frame = balltree.integer_vectors(rows(spark, [[1.0, 0.0]] * 3 + [[0.0, 1.0]], [0, 1, 1, 2]))
-    assert [r["vec_id"] for r in balltree.top_k(frame, frame.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
+def test_top_k_rows_that_repeat_an_id_are_all_candidates(spark):
+    frame = balltree.integer_vectors(rows(spark, [[1.0, 0.0], [1.0, 0.5], [1.0, 0.5], [0.5, 1.0], [0.0, 1.0]], [0, 1, 1, 1, 2]))
+    found = balltree.top_k(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, 65536), (1, 65536), (1, 32768), (2, 0)]
+
+
+def test_queries_skip_shards_that_are_out_of_reach(spark):
+    """Two far clusters: after the first wave no query goes to the other shard."""
+    rng = np.random.default_rng(6)
+    centres = 10 * np.array([[1, 0, 0, 0], [-1, 0, 0, 0]])
+    x = np.concatenate([c + 0.1 * rng.normal(size=(100, 4)) for c in centres])
+    frame = balltree.integer_vectors(rows(spark, x.tolist()))
+    trees = balltree._top_trees(frame, 100, 1000)
+    dealt = balltree._dealt(frame, trees)
+    radii = {r["shard"]: r["far"] for r in dealt.groupBy("shard").agg(F.max("far").alias("far")).collect()}
+    assert len(radii) == 2
+    known = frame.withColumn("floor", F.lit(256.0 * 256 * 80))
+    assert balltree._routed(known, trees, radii, 0, 1).count() == 200
+    assert balltree._routed(known, trees, radii, 1, None).count() == 0
 
 
 def test_ball_bound_never_cuts_a_better_row():
@@ -102,6 +120,23 @@ def test_cap_filters_recall_at_the_threshold(spark):
     assert found >= 0.99 * 800
 
 
+@pytest.mark.parametrize("bits", [11, 18, 24, 30])
+def test_recall_of_codes_for_large_inputs(bits):
+    """The codes of 2^11 to 2^30 vectors, on pairs at cosine 0.9501: the lists that two vectors decode to share a filter."""
+    rng = np.random.default_rng(bits)
+    n = 150 if bits < 30 else 60
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.9501 * x + math.sqrt(1 - 0.9501**2) * y
+    c = capfilters.Code(64, 1 << bits, 40, 5)
+    lists = [[set(c.decode(s, 24)[0].tolist()) for s in c.scores(v)] for v in (x, z)]
+    found = np.mean([bool(a & b) for a, b in zip(*lists, strict=True)])
+    assert found >= 0.95
+
+
 def test_cap_filters_without_rows_or_ids(spark):
     assert capfilters.near_duplicates(rows(spark, [])).count() == 0
     found = capfilters.near_duplicates(rows(spark, [[1.0, 0.0], [1.0, 0.0], None], [None, 4, None])).collect()
