@@ -70,18 +70,19 @@ def clean_up(spark: SparkSession) -> None:
     _delete(tables_dir(spark))
 
 
-def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key (a digest) may be among keys, and few others: a bit for each key in a table of at most 16 MB.
+def may_be_among(keys: DataFrame) -> Column:
+    """Whether a row's key (a digest) may be among keys: true for all that are, and for few others.
 
-    It only spares a join rows that it would drop; with many more keys than bits it spares less.
+    A table of at most 16 MB has a bit for each key. It only spares joins rows that they would drop; with many
+    more keys than bits it spares less.
     """
     words = 1 << min(21, max(6, (keys.count() * 12 // 64).bit_length()))
     at = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(words - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
     found = keys.select(at.alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
     every = keys.sparkSession.range(words).join(found, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("x"))
-    table = every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits"))
-    return rows.where(F.get(table.scalar(), at.cast("int")).bitwiseAND(bit) != 0)
+    table = cut(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits")))
+    return F.get(table.scalar(), at.cast("int")).bitwiseAND(bit) != 0
 
 
 def parallelism(spark: SparkSession) -> int:

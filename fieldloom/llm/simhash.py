@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, cut, parallelism, small_batches, stretches
+from .common import byte_texts, columns_of, cut, may_be_among, parallelism, reused, small_batches, stretches
 from .components import components, local_forests
 
 RADIUS = 1
@@ -151,8 +151,12 @@ def representatives(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42)
 
 
 def kept_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The rows of docs that are marked as kept, once each. marked: key, check, kept."""
-    kept = marked.where("kept").select("key", "check").distinct()
+    """The rows of docs that are marked as kept, once each. marked: key, check, kept, a row for each of docs.
+
+    Rows that are kept and come once go through as they are; only what may be dropped is joined.
+    """
+    known = reused(marked.groupBy("key", "check").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    rows = rows.select("row", *keys())
-    return rows.join(cut(kept), ["key", "check"], "left_semi").dropDuplicates(["key", "check"]).select("row.*")
+    rows, doubtful = rows.select("row", *keys()), may_be_among(known.where("n > 1 or not kept").select("key"))
+    some = rows.where(doubtful).join(known.where("kept").select("key", "check"), ["key", "check"], "left_semi").dropDuplicates(["key", "check"])
+    return rows.where(~doubtful).select("row.*").unionByName(some.select("row.*"))

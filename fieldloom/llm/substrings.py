@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, columns_of, freed, likely, parallelism, reused, small_batches
+from .common import byte_texts, columns_of, freed, may_be_among, parallelism, reused, small_batches
 from .parsing import PIECE, Parse, Rolling, anchors
 
 #: A range is kept as one number, its first position times WIDE and its width (less 1).
@@ -217,7 +217,7 @@ def repeated(rows: DataFrame, length: int = 400, span: int = SPAN, group: int =
     mixed = reused(mixed)
     asked = contexts.join(mixed, "core").select("core", "crowded", "first.*", (F.col("n") == 1).alias("own"))
     by_doc = reused(asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "at", "own")).alias("asked")))
-    held = likely(rows.select("key", "text"), by_doc.select("key")).join(by_doc, "key")
+    held = rows.select("key", "text").where(may_be_among(by_doc.select("key"))).join(by_doc, "key")
     found = whole.unionByName(_ordered(_contexts(held.where("not crowded"), length).repartition(parts, "core").sortWithinPartitions("core"), length))
     if mixed.where("crowded").limit(1).count():
         found = found.unionByName(_counted(_contexts(held.where("crowded"), length), length))
