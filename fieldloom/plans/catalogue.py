@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Refinement
@@ -18,11 +19,12 @@ from ..functions.distances import residual
 from ..lineage import cut
 from ..operators import agglomeration, centroids, gradients, graph, lowrank, masks, modes, pairs, regrid, smoothing, stencil
 from ..sources import fields, sinks
-from . import refine
-from .oracles import ORACLE_SQL
+from . import oracles, oracles_clusters, refine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+ORACLE_SQL = oracles.ORACLE_SQL | oracles_clusters.ORACLE_SQL
+
 #: The embedding grid has 25 columns, two degrees apart from -79 and -24.
 COLUMNS, LAT0, LON0, STEP = 25, -79.0, -24.0, 2.0
 #: Of the loops in this catalogue: dimensions and clusters. They run to the operators' own caps (49 and 100).
@@ -203,8 +205,8 @@ def neighbours_4(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def seam_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours across columns without data at the edge of the grid."""
-    cells = masks.any_valid_cells(fields.lineitem_field(spark, d)).where("lon_idx > 0")
+    """Neighbours on the grid's circle, its first and last columns with data among them."""
+    cells = masks.any_valid_cells(fields.lineitem_field(spark, d))
     return stencil.neighbours(cells, n_lon=10, seam=True)
 
 
@@ -329,7 +331,7 @@ def neighbouring_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dense_cluster_ids(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.dense_ids(_labels(_cells(spark, d)).where("cluster_id % 3 <> 1"))
+    return sinks.dense_ids(_labels(_cells(spark, d)).withColumn("cluster_id", F.col("cluster_id") * 7 + 3))
 
 
 @query
@@ -359,11 +361,12 @@ def kmeans_objective(spark: SparkSession, d: str) -> DataFrame:
 def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
     """Nearest of ten given centres, the series of the first ten cells."""
     cells = _cells(spark, d)
-    first = cells.orderBy("cell_id").limit(K).select("cell_id", F.col("x").alias("centre")).withColumn("cluster_id", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("int"))
-    total = F.aggregate(F.zip_with("x", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    near = cells.select("cell_id", "x").join(F.broadcast(first.select("cluster_id", "centre"))).select("cell_id", "cluster_id", total.alias("d"))
-    best = near.groupBy("cell_id").agg(F.min(F.struct("d", "cluster_id")).alias("x"))
-    return best.select("cell_id", F.col("x.cluster_id").alias("cluster_id"), r6("x.d").alias("d"))
+    return centroids.nearest_centre(cells, _first_series(cells)).select("cell_id", "cluster_id", r6("d").alias("d"))
+
+
+def _first_series(cells: DataFrame) -> np.ndarray:
+    """The series of the first ten cells."""
+    return np.array([r["x"] for r in cells.orderBy("cell_id").limit(K).select("x").collect()])
 
 
 def _axis_subspaces(cells: DataFrame) -> DataFrame:
@@ -374,31 +377,38 @@ def _axis_subspaces(cells: DataFrame) -> DataFrame:
     return means.withColumn("basis", F.array(*[axis(k) for k in range(M)]))
 
 
-def _axis_distances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _on_axes(spark: SparkSession, d: str) -> tuple[DataFrame, lowrank.Subspaces]:
     cells = _cells(spark, d)
-    spaces = F.broadcast(_axis_subspaces(cells).withColumnRenamed("cluster_id", "c"))
-    return cells, cells.select("cell_id", "cluster_id", "x").join(spaces).select("cell_id", "cluster_id", "c", residual(F.col("x"), F.col("mean"), F.col("basis")).alias("d"))
+    unused = [F.lit(0.0).alias(c) for c in ("explained", "residual_ss")]
+    return cells, lowrank.Subspaces(_axis_subspaces(cells).select("cluster_id", "mean", "basis", *unused))
 
 
 @query
 def residual_to_axis_subspace(spark: SparkSession, d: str) -> DataFrame:
-    return _axis_distances(spark, d)[1].select("cell_id", F.col("c").alias("cluster_id"), r6("d").alias("d"))
+    cells, spaces = _on_axes(spark, d)
+    found = lowrank.distances(cells, spaces).select("cell_id", F.explode(F.arrays_zip("clusters", "d")).alias("x"))
+    return found.select("cell_id", F.col("x.clusters").alias("cluster_id"), r6("x.d").alias("d"))
+
+
+@query
+def residual_expression(spark: SparkSession, d: str) -> DataFrame:
+    """The same distances as a column expression, for the cluster that a cell is in."""
+    cells = _cells(spark, d)
+    near = cells.select("cell_id", "cluster_id", "x").join(F.broadcast(_axis_subspaces(cells)), "cluster_id")
+    return near.select("cell_id", "cluster_id", r6(residual(F.col("x"), F.col("mean"), F.col("basis"))).alias("d"))
 
 
 @query
 def assign_axis_subspace(spark: SparkSession, d: str) -> DataFrame:
-    best = _axis_distances(spark, d)[1].groupBy("cell_id").agg(F.min(F.struct("d", "c")).alias("x"))
-    return best.select("cell_id", F.col("x.c").alias("cluster_id"), r6("x.d").alias("d"))
+    return lowrank.assign(*_on_axes(spark, d)).select("cell_id", "cluster_id", r6("d").alias("d"))
 
 
 @query
 def boundary_step(spark: SparkSession, d: str) -> DataFrame:
     """One synchronous step of boundary moves towards subspaces on unit axes."""
-    cells, dist = _axis_distances(spark, d)
+    cells, spaces = _on_axes(spark, d)
     near = graph.neighbouring_clusters(_labels(cells), stencil.neighbours(cells, stencil.FOUR))
-    open_ = dist.join(near, "cell_id", "left").where((F.col("c") == F.col("cluster_id")) | F.array_contains(F.coalesce("clusters", F.array().cast("array<int>")), F.col("c")))
-    best = open_.groupBy("cell_id").agg(F.min(F.struct("d", (F.col("c") != F.col("cluster_id")).alias("moves"), "c")).alias("x"))
-    return best.select("cell_id", F.col("x.c").alias("cluster_id"))
+    return lowrank.move_boundary(cells.select("cell_id", "cluster_id", "x").join(near, "cell_id", "left"), spaces).select("cell_id", "cluster_id")
 
 
 @query
@@ -407,29 +417,30 @@ def total_variance(spark: SparkSession, d: str) -> DataFrame:
     return spaces.select("cluster_id", "n", r6("total_ss").alias("total_ss"))
 
 
-# --- subspaces, modes, clusterings and loops: no SQL ------------------------------------------------
+# --- subspaces and modes of mirrored spikes, whose principal axes SQL can tell -----------------------
 
 
 @query
 def cluster_subspaces(spark: SparkSession, d: str) -> DataFrame:
-    return lowrank.fit(_cells(spark, d), M).select("cluster_id", "n", r6("explained").alias("explained"), r6("total_ss").alias("total_ss"), r6("residual_ss").alias("residual_ss"))
+    found = lowrank.fit(fields.mirrored_spikes(spark, d), M)
+    return found.select("cluster_id", "n", r6("explained").alias("explained"), r6("total_ss").alias("total_ss"), r6("residual_ss").alias("residual_ss"))
 
 
 @query
 def subspace_cost(spark: SparkSession, d: str) -> DataFrame:
-    found = lowrank.costs(_cells(spark, d), [5, 10, 15, 30])
+    found = lowrank.costs(fields.mirrored_spikes(spark, d), [5, 10, 15, 30])
     return found.select("m", r6("cost").alias("cost"), "n_unfitted")
 
 
 @query
 def explained_variance(spark: SparkSession, d: str) -> DataFrame:
-    return lowrank.explained_by(_cells(spark, d), [1, 2, 5, 10, 20, 30, 40, 50]).select("components", r6("explained").alias("explained"))
+    return lowrank.explained_by(fields.mirrored_spikes(spark, d), [1, 2, 5, 10, 20, 30, 40, 50]).select("components", r6("explained").alias("explained"))
 
 
 @query
 def subspace_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Fit a subspace to every cluster, assign every cell to the nearest, and sum the costs up."""
-    cells = _cells(spark, d)
+    cells = fields.mirrored_spikes(spark, d)
     found = lowrank.assign(cells, lowrank.Subspaces(lowrank.fit(cells, M)))
     return found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d")).alias("cost"))
 
@@ -437,13 +448,12 @@ def subspace_assignment(spark: SparkSession, d: str) -> DataFrame:
 @query
 def axis_rank_profile(spark: SparkSession, d: str) -> DataFrame:
     """The mean distance of cells to their nearest, second nearest, ... subspace on unit axes."""
-    found = _axis_distances(spark, d)[1].groupBy("cell_id").agg(F.collect_list("d").alias("d"))
-    return lowrank.rank_profile(found).select("rank", r6("d").alias("d"))
+    return lowrank.rank_profile(lowrank.distances(*_on_axes(spark, d))).select("rank", r6("d").alias("d"))
 
 
 @query
 def mean_distance_by_subspace(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d)
+    cells = fields.mirrored_spikes(spark, d)
     found = lowrank.mean_distances(lowrank.distances(cells, lowrank.Subspaces(lowrank.fit(cells, M))))
     return found.select("cluster_id", r6("d").alias("d"))
 
@@ -459,7 +469,7 @@ def reconnected(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.reconnect import reconnect
 
     grid, labels = _grid(spark, d)
-    return reconnect(grid.series, labels, grid.edges, refine.fitted(grid, labels, M), K)
+    return reconnect(grid.series, labels, grid.edges, _on_axes(spark, d)[1], K)
 
 
 @query
@@ -488,6 +498,13 @@ def ward_unconstrained_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(_cells(spark, d))
+    return centroids.lloyd(cells, _first_series(cells))[0].select("cell_id", "cluster_id", r6("d").alias("d"))
+
+
+@query
+def kmeans_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """From centres drawn far apart."""
     return centroids.kmeans(cut(_cells(spark, d)), K).select("cell_id", "cluster_id", r6("d").alias("d"))
 
 
@@ -537,27 +554,51 @@ def sweep_results(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def principal_angles(spark: SparkSession, d: str) -> DataFrame:
-    found = modes.angle_summary(modes.angles(lowrank.fit(_cells(spark, d), M)))
+    found = modes.angle_summary(modes.angles(lowrank.fit(fields.mirrored_spikes(spark, d), M)))
     return found.select("c1", "c2", r6("largest").alias("largest"), r6("chordal").alias("chordal"), r6("mean_angle").alias("mean_angle"))
 
 
+def _unsigned_zero(c: Column) -> Column:
+    return r6(c) + F.lit(0.0)
+
+
 @query
 def cluster_modes(spark: SparkSession, d: str) -> DataFrame:
-    return modes.cluster_modes(_cells(spark, d)).withColumn("pc", r6("pc"))
+    return modes.cluster_modes(fields.mirrored_spikes(spark, d)).withColumn("pc", _unsigned_zero(F.col("pc")))
+
+
+@query
+def mean_first_mode(spark: SparkSession, d: str) -> DataFrame:
+    return modes.mean_first_mode(modes.cluster_modes(fields.mirrored_spikes(spark, d))).withColumn("pc", _unsigned_zero(F.col("pc")))
 
 
 @query
 def mode_maps(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d)
-    return modes.mode_maps(cells, modes.cluster_modes(cells)).withColumn("eof", r6("eof"))
+    cells = fields.mirrored_spikes(spark, d)
+    return modes.mode_maps(cells, modes.cluster_modes(cells)).withColumn("eof", _unsigned_zero(F.col("eof")))
 
 
 @query
 def field_mode(spark: SparkSession, d: str) -> DataFrame:
-    return modes.field_mode(_cells(spark, d)).withColumn("value", r6("value"))
+    return modes.field_mode(fields.mirrored_spikes(spark, d)).withColumn("value", _unsigned_zero(F.col("value")))
 
 
 @query
 def whitened(spark: SparkSession, d: str) -> DataFrame:
-    found = modes.whitened(_cells(spark, d), 3)
+    found = modes.whitened(fields.mirrored_spikes(spark, d), 3)
     return found.select("cell_id", *[r6(F.abs(F.col("z")[k])).alias(f"z{k}") for k in range(3)])
+
+
+# --- subspaces of the embedding grid: no SQL ---------------------------------------------------------
+
+
+@query
+def embedding_subspaces(spark: SparkSession, d: str) -> DataFrame:
+    return lowrank.fit(_cells(spark, d), M).select("cluster_id", "n", r6("explained").alias("explained"), r6("residual_ss").alias("residual_ss"))
+
+
+@query
+def embedding_assignment(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    found = lowrank.assign(cells, lowrank.Subspaces(lowrank.fit(cells, M)))
+    return found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d")).alias("cost"))

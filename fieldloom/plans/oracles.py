@@ -130,7 +130,7 @@ FROM years a JOIN years b ON a.year = b.year AND a.station < b.station GROUP BY
     "neighbours_8_wrap": f"WITH {CELLS}, {EDGE_8_WRAP} SELECT * FROM edges",
     "neighbours_8_nowrap": f"WITH {CELLS}, {EDGE_8} SELECT * FROM edges",
     "neighbours_4": f"WITH {CELLS}, {EDGE_4} SELECT * FROM edges",
-    "seam_edges": f"""WITH {FIELD}, c AS (SELECT DISTINCT cell_id, lat_idx, lon_idx FROM field WHERE sla IS NOT NULL AND lon_idx > 0), e AS (SELECT min(lon_idx) AS lo, max(lon_idx) AS hi FROM c)
+    "seam_edges": f"""WITH {FIELD}, c AS (SELECT DISTINCT cell_id, lat_idx, lon_idx FROM field WHERE sla IS NOT NULL), e AS (SELECT min(lon_idx) AS lo, max(lon_idx) AS hi FROM c)
 SELECT DISTINCT least(a.cell_id, b.cell_id) AS src, greatest(a.cell_id, b.cell_id) AS dst FROM c a JOIN c b ON abs(a.lat_idx - b.lat_idx) <= 1 AND a.cell_id <> b.cell_id CROSS JOIN e
 WHERE (a.lon_idx - b.lon_idx + 10) % 10 IN (0, 1, 9) OR (a.lon_idx = e.lo AND b.lon_idx = e.hi)""",
     "grid_extrema": f"WITH {FIELD} SELECT min(lat_idx) AS first_row, max(lat_idx) AS last_row, min(lon_idx) AS first_column, max(lon_idx) AS last_column FROM whole",
@@ -177,7 +177,7 @@ FROM edges JOIN comps a ON a.cell_id = src JOIN comps b ON b.cell_id = dst WHERE
     "neighbouring_clusters": f"""WITH {CELLS}, {EDGE_4}, links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), near AS (
   SELECT DISTINCT a.cell_id, b.cluster_id FROM links JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst WHERE a.cluster_id <> b.cluster_id
 ) SELECT cell_id, string_agg(CAST(cluster_id AS VARCHAR), ',' ORDER BY cluster_id) AS clusters FROM near GROUP BY 1""",
-    "dense_cluster_ids": f"WITH {CELLS} SELECT cell_id, CAST(dense_rank() OVER (ORDER BY cluster_id) - 1 AS INTEGER) AS cluster_id FROM cells WHERE cluster_id % 3 <> 1",
+    "dense_cluster_ids": f"WITH {CELLS} SELECT cell_id, CAST(dense_rank() OVER (ORDER BY cluster_id) - 1 AS INTEGER) AS cluster_id FROM cells",
     "empty_cluster_ids": "SELECT CAST(i AS INTEGER) AS cluster_id FROM range(25) g(i) WHERE i NOT IN (SELECT label FROM embeddings)",
     "small_clusters": "SELECT label AS cluster_id, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) <= 50",
     "cluster_centroids": f"WITH {CELLS}, {CENTROIDS} SELECT cluster_id, CAST(pos AS INTEGER) AS pos, round(mean, 6) AS mean, n FROM centroids",
@@ -188,6 +188,7 @@ FROM vals v JOIN centroids m ON m.cluster_id = v.cluster_id AND m.pos = v.t GROU
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d, k) AS n FROM s)
 SELECT cell_id, k AS cluster_id, round(d, 6) AS d FROM ranked WHERE n = 1""",
     "residual_to_axis_subspace": f"WITH {AXES} SELECT cell_id, c AS cluster_id, round(d, 6) AS d FROM axes",
+    "residual_expression": f"WITH {AXES} SELECT cell_id, c AS cluster_id, round(d, 6) AS d FROM axes WHERE c = cluster_id",
     "assign_axis_subspace": f"WITH {AXES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d, c) AS n FROM axes) SELECT cell_id, c AS cluster_id, round(d, 6) AS d FROM ranked WHERE n = 1",
     "boundary_step": f"""WITH {AXES}, {EDGE_4}, links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), near AS (
   SELECT DISTINCT a.cell_id, b.cluster_id AS c FROM links JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst

@@ -28,6 +28,17 @@ def embedding_cells(spark: SparkSession, sf_dir: str, full_circle: bool = False)
     ).select("cell_id", "lat_idx", "lon_idx", (F.lit(-79.0) + 2.0 * F.col("lat_idx")).alias("latitude"), lon.alias("longitude"), "x", "cluster_id")
 
 
+def mirrored_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell_id, x, cluster_id: for every vector two series that are 0 but for one time, where one has a whole number and the other its negative.
+
+    Means are 0 and scatters diagonal, so the principal axes of any set of pairs are the times themselves.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("cluster_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("mirror"))
+    size = lambda v: (F.floor(1024 * F.abs(v.cast("double"))) + 1) * (1 - 2 * F.col("mirror"))
+    x = F.transform("embedding", lambda v, i: F.when(i == F.col("vec_id") % F.size("embedding"), size(v).cast("double")).otherwise(0.0))
+    return e.select((2 * F.col("vec_id") + F.col("mirror")).alias("cell_id"), x.alias("x"), "cluster_id")
+
+
 def lineitem_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field: a supplier is a cell, its monthly mean discount the value; months without one are null."""
     ship = F.col("l_shipdate")
