@@ -145,51 +145,36 @@ def _compare(routed: DataFrame, n: int, per_vector: int, least: int, seed: int,
         flat = np.concatenate(x["v"].to_numpy()).astype(np.float64)
         lengths = x["v"].map(len).to_numpy()
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        one, other, number = [], [], []
-        sizes = {int(d): code(int(d), n, per_vector, seed).size for d in np.unique(lengths)}
-        for d, size in sizes.items():
+        for d in np.unique(lengths):
+            c = code(int(d), n, per_vector, seed)
             own = np.flatnonzero(lengths == d)
             u = _unit(flat[offsets[own][:, None] + np.arange(d)])
-            for met, f, low, high in _met(x.iloc[own], size):
-                if low == high:
-                    i, j = np.nonzero(np.triu(u[met] @ u[met].T >= cosine, 1))
-                    i, j = met[i], met[j]
-                else:
-                    p, q = met[side[own[met]] == low], met[side[own[met]] == high]
-                    i, j = np.nonzero(u[p] @ u[q].T >= cosine)
-                    i, j = p[i], q[j]
+            decoded: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by class, however many filters it is met in here
+
+            def settled(a: np.ndarray, b: np.ndarray, number: int) -> Iterator[pd.DataFrame]:
+                """What the pairs count for that this filter owns."""
+                used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                fresh = [r for r in used.tolist() if ids[own[r]] not in decoded]  # noqa: B023
+                for r, score in zip(fresh, c.scores(u[fresh]) if fresh else (), strict=True):  # noqa: B023
+                    decoded[ids[own[r]]] = (score, c.decode(score, least)[0])  # noqa: B023
+                found = [decoded[k] for k in ids[own[used]].tolist()]  # noqa: B023
+                scores, lists = np.stack([x for x, _ in found]), [x for _, x in found]
+                keep = _owned(at[: len(a)], at[len(a) :], scores, lists, c, np.full(len(a), number))  # noqa: B023
+                i, j = own[a[keep]], own[b[keep]]  # noqa: B023
                 if len(i):
-                    one.append(own[i])
-                    other.append(own[j])
-                    number.append(np.full(len(i), f))
-        if not one:
-            return
-        a, b, number = np.concatenate(one), np.concatenate(other), np.concatenate(number)
-        used, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-        ai, bi = index[: len(a)], index[len(a) :]
-        keep = np.zeros(len(a), bool)
-        for d in np.unique(lengths[used]):
-            c = code(int(d), n, per_vector, seed)
-            own = np.flatnonzero(lengths[used] == d)
-            place = np.full(len(used), -1)
-            place[own] = np.arange(len(own))
-            u = _unit(flat[offsets[used[own]][:, None] + np.arange(d)])
-            # one decoding for each class, however many filters it is met in here
-            classes, first, back = np.unique(ids[used[own]], return_index=True, return_inverse=True)
-            scores = c.scores(u[first])
-            lists = [c.decode(s, least)[0] for s in scores]
-            pairs = np.flatnonzero(lengths[a] == d)
-            for at in range(0, len(pairs), 50_000):
-                p = pairs[at : at + 50_000]
-                keep[p] = _owned(back[place[ai[p]]], back[place[bi[p]]], scores, lists, c, number[p])
-        a, b = a[keep], b[keep]
-        if not len(a):
-            return
-        rows, at = np.unique(np.concatenate([ids[a], ids[b]]), return_inverse=True)
-        found = np.bincount(at, weights=np.concatenate([copies[b], copies[a]])).astype(np.int64)
-        yield pd.DataFrame({"kind": 0, "a": rows, "b": found})
-        p, q = forest(ids[a], ids[b])
-        yield pd.DataFrame({"kind": 1, "a": p, "b": q})
+                    rows, at = np.unique(np.concatenate([ids[i], ids[j]]), return_inverse=True)
+                    yield pd.DataFrame({"kind": 0, "a": rows, "b": np.bincount(at, weights=np.concatenate([copies[j], copies[i]])).astype(np.int64)})
+                    p, q = forest(ids[i], ids[j])
+                    yield pd.DataFrame({"kind": 1, "a": p, "b": q})
+
+            for met, f, low, high in _met(x.iloc[own], c.size):
+                p, q = (met, met) if low == high else (met[side[own[met]] == low], met[side[own[met]] == high])
+                for s in range(0, len(p), 64):  # a stripe's pairs at once
+                    i, j = np.nonzero(u[p[s : s + 64]] @ u[q].T >= cosine)
+                    if low == high:
+                        i, j = i[j > i + s], j[j > i + s]
+                    if len(i):
+                        yield from settled(p[s + i], q[j], f)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
