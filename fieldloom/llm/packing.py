@@ -66,6 +66,11 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
+def _digest(*columns: Column | str, between: str = "\n") -> Column:
+    """60 bits of a digest that any engine has."""
+    return F.conv(F.substring(F.md5(F.concat_ws(between, *columns)), 1, 15), 16, 10).cast("long")
+
+
 def pack(docs: DataFrame, length: Column | None = None, window: int = 2048, buckets: int = 16, batch_tokens: int = 65536) -> DataFrame:
     """doc_id, piece, start, n_tokens, bucket_len, batch, slot, padding; one row per piece of a document.
 
@@ -80,7 +85,7 @@ def pack(docs: DataFrame, length: Column | None = None, window: int = 2048, buck
     """
     x = columns_of(docs, "doc_id", "text")
     n = (n_words(F.col("text")) if length is None else length).cast("long")
-    sized = x.select("doc_id", n.alias("n"), F.xxhash64("doc_id", "text").alias("digest")).groupBy("doc_id", "digest", "n").agg(F.count(F.lit(1)).alias("times"))
+    sized = x.select("doc_id", n.alias("n"), _digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).alias("digest")).groupBy("doc_id", "digest", "n").agg(F.count(F.lit(1)).alias("times"))
     sized = reused(sized)
     blocks = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))).alias("block"))
     if sized.where(F.col("times") > REPEATS).limit(1).count():  # else each is one block
@@ -100,7 +105,9 @@ def pack(docs: DataFrame, length: Column | None = None, window: int = 2048, buck
         bucket = F.when(F.col("n_tokens") <= b, b).otherwise(bucket)
         groups = F.when(F.col("n_tokens") <= b, -(-int(m) // GROUP_ROWS)).otherwise(groups)
     some = pieces.where("n_tokens > 0").withColumn("bucket_len", bucket.cast("int"))
-    some = some.withColumn("order", F.xxhash64("digest", "copy", "piece")).withColumn("part", F.pmod(F.xxhash64("order"), groups))
+    some = some.withColumn("order", _digest("digest", "copy", "piece", between=":"))
+    # parts follow the order, so numbers in a part and the sizes of the parts before it number a bucket
+    some = some.withColumn("part", F.floor(F.col("order") / float(2**60) * groups).cast("long"))
     sizes = some.groupBy("bucket_len", "part").count()
     before = Window.partitionBy("bucket_len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket_len", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

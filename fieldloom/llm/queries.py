@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, capfilters, chat, mixing, packing, pii, quality, secrets, simhash, substrings
+from . import balltree, capfilters, chat, mixing, oracles, packing, pii, quality, secrets, simhash, substrings
 from .common import table
 
 TOPK_EVERY = 50
@@ -130,4 +130,4 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ball_tree_top_k": OP1_SQL,
     "op5_cap_filter_near_duplicates": OP5_SQL,
     "op10_template_chat": OP10_SQL,
-}
+} | oracles.ORACLE_SQL
