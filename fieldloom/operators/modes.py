@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .lowrank import _merged, no_rows, spectrum, states
 
 
+#: Clusters whose bases are broadcast to be compared with each other.
+MOST_CLUSTERS = 2000
+
+
 def principal_angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Degrees, ascending, between the row spaces of two matrices."""
     p, q = np.linalg.qr(a.T)[0], np.linalg.qr(b.T)[0]
@@ -17,9 +21,11 @@ def principal_angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def angles(subspaces: DataFrame) -> DataFrame:
-    """c1 < c2, angles of each pair of clusters. The subspaces are k small matrices."""
+    """c1 < c2, angles of each pair of clusters: a cross join with itself of a table of k small matrices, which is checked to be small."""
     one, two = (subspaces.select(F.col("cluster_id").alias(f"c{i}"), F.col("basis").alias(f"b{i}")) for i in (1, 2))
-    met = one.withColumn("all", F.lit(1)).join(two.withColumn("all", F.lit(1)), "all").where("c1 < c2")
+    if two.limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
+        raise ValueError(f"angles are made for up to {MOST_CLUSTERS} clusters")
+    met = one.crossJoin(F.broadcast(two)).where("c1 < c2")
 
     def run(frames):  # noqa: ANN001, ANN202
         for f in frames:

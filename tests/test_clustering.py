@@ -115,12 +115,12 @@ def brute_average(d):
     return heights
 
 
-@pytest.mark.parametrize("kernel", [10**9, 50])
+@pytest.mark.parametrize("kernel", [10**9, 8])
 def test_average_linkage_equals_one_merge_at_a_time(spark, kernel):
     x = np.random.default_rng(3).normal(size=(40, 4))
     series = series_frame(spark, x, 8)
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    merges = sorted(agglomeration.average_linkage_merges(pairs.all_pairs(series, "euclidean"), series, kernel))
+    merges = sorted(tuple(r) for r in agglomeration.average_linkage_merges(pairs.all_pairs(series, "euclidean"), series, kernel).collect())
     want = brute_average(d)
     assert [h for h, _, _ in merges] == pytest.approx([h for h, _, _ in want])
     for k in (3, 10):
@@ -157,7 +157,7 @@ def test_constrained_linkage(spark):
 def test_constrained_linkage_with_missing_links_made_up(spark):
     x = [[0.0], [1.0], [5.0], [9.0]]
     series = series_frame(spark, x, 4)
-    total = agglomeration.paired_sum(series, "euclidean")
+    total = agglomeration.paired_sum(series.toPandas(), "euclidean")
     assert total([0, 1], [2]) == 5.0 and total([0, 1], [2, 3]) == 13.0
     edges = {(0, 1): 1.0, (1, 2): 4.0, (2, 3): 4.5}
     plain = agglomeration.constrained_merges(dict.fromkeys(range(4), 1), edges)
