@@ -242,6 +242,13 @@ def gauss_smooth(spark: SparkSession, d: str) -> DataFrame:
     return smoothing.gauss_smooth(field, _supplier_places(spark, field), 200.0, 10, digits=None).select("cell_id", "t", r6("sla").alias("sla"))
 
 
+@query
+def both_filters(spark: SparkSession, d: str) -> DataFrame:
+    """The filter on the sphere, rounded half to even, then the rolling mean."""
+    field = fields.lineitem_field(spark, d)
+    return smoothing.spatial_then_temporal(field, _supplier_places(spark, field), 200.0, 10, wrap=False).select("cell_id", "t", r6("sla").alias("sla"))
+
+
 @query
 def label_smooth(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
@@ -558,6 +565,13 @@ def principal_angles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("c1", "c2", r6("largest").alias("largest"), r6("chordal").alias("chordal"), r6("mean_angle").alias("mean_angle"))
 
 
+@query
+def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
+    found = modes.angle_summary(modes.angles(lowrank.fit(fields.mirrored_spikes(spark, d), M)))
+    table = sinks.similarity_matrix(found, "chordal")
+    return table.select("c1", *[r6(F.col(f"`{c}`")).alias(c) for c in table.columns if c != "c1"])
+
+
 def _unsigned_zero(c: Column) -> Column:
     return r6(c) + F.lit(0.0)
 

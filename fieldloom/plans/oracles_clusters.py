@@ -143,6 +143,9 @@ SELECT c AS cluster_id, 2 * count(*) AS n, round(2 * sum(d), 6) AS cost FROM bes
     "principal_angles": f"""WITH {SPIKES}, five AS (SELECT c, p FROM ranked WHERE r <= 5), shared AS (
   SELECT a.c AS c1, b.c AS c2, count(*) FILTER (WHERE a.p = b.p) AS k FROM five a JOIN five b ON a.c < b.c GROUP BY 1, 2
 ) SELECT c1, c2, CASE WHEN k < 5 THEN 90.0 ELSE 0.0 END AS largest, round(sqrt(5 - k), 6) AS chordal, (5 - k) * 18.0 AS mean_angle FROM shared""",
+    "similarity_matrix": f"""WITH {SPIKES}, five AS (SELECT c, p FROM ranked WHERE r <= 5), far AS (
+  SELECT a.c AS c1, b.c AS c2, sqrt(5 - count(*) FILTER (WHERE a.p = b.p)) AS d FROM five a CROSS JOIN five b GROUP BY 1, 2
+) SELECT c1, {", ".join(f'round(max(CASE WHEN c2 = {c} THEN d END), 6) AS "{c}"' for c in range(10))} FROM far GROUP BY 1""",
     "cluster_modes": f"""WITH {SPIKES} SELECT c AS cluster_id, CAST(r AS INTEGER) AS mode, CAST(t AS INTEGER) AS t, round(CASE WHEN t = p THEN sqrt(s) ELSE 0.0 END, 6) AS pc
 FROM ranked CROSS JOIN range(64) g(t) WHERE r <= 2""",
     "mode_maps": f"""WITH {SPIKES} SELECT 2 * a.vec_id + k AS cell_id, a.c AS cluster_id, CAST(r AS INTEGER) AS mode, round(CASE WHEN a.p = r.p THEN (1 - 2 * k) * a.v / sqrt(s) ELSE 0.0 END, 6) AS eof
