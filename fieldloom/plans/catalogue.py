@@ -244,9 +244,9 @@ def gauss_smooth(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def both_filters(spark: SparkSession, d: str) -> DataFrame:
-    """The filter on the sphere, rounded half to even, then the rolling mean."""
+    """The filter on the sphere, then the rolling mean."""
     field = fields.lineitem_field(spark, d)
-    return smoothing.spatial_then_temporal(field, _supplier_places(spark, field), 200.0, 10, wrap=False).select("cell_id", "t", r6("sla").alias("sla"))
+    return smoothing.spatial_then_temporal(field, _supplier_places(spark, field), 200.0, 10, wrap=False, digits=None).select("cell_id", "t", r6("sla").alias("sla"))
 
 
 @query

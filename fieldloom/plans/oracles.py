@@ -150,7 +150,7 @@ SELECT w.cell_id, f.t, round(sum(w.w * f.sla), 6) AS sla FROM weights w JOIN fie
     "both_filters": f"""WITH {FIELD}, places AS (
   SELECT r.lat_idx, CAST(j AS INTEGER) AS lon_idx, -75.0 + 1.5 * r.lat_idx AS latitude, -9.0 + 2.0 * j AS longitude FROM (SELECT DISTINCT lat_idx FROM field) r CROSS JOIN range(10) g(j)
 ), {_reach("whole", "places")}, smooth AS (
-  SELECT w.cell_id, f.t, round_even(sum(w.w * f.sla), 4) AS sla FROM weights w JOIN field f ON f.lat_idx = w.to_lat AND f.lon_idx = w.to_lon WHERE f.sla IS NOT NULL GROUP BY 1, 2
+  SELECT w.cell_id, f.t, sum(w.w * f.sla) AS sla FROM weights w JOIN field f ON f.lat_idx = w.to_lat AND f.lon_idx = w.to_lon WHERE f.sla IS NOT NULL GROUP BY 1, 2
 ) SELECT cell_id, t, round(avg(sla) OVER (PARTITION BY cell_id ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) AS sla FROM smooth""",
     "label_smooth": f"""WITH {CELLS}, {_reach("cells", "cells")}, votes AS (
   SELECT w.cell_id, o.cluster_id, round(sum(w.w), 12) AS w FROM weights w JOIN cells o ON o.lat_idx = w.to_lat AND o.lon_idx = w.to_lon GROUP BY 1, 2
