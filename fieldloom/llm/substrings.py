@@ -10,8 +10,9 @@
 3. Order. What is left, ranges in which only some strings are repeated, comes together by core, one
    copy of each distinct context. There the contexts are parsed into phrases; the suffix arrays of
    dictionary and parse give the order of all positions, in which equal strings are neighbours.
-   Cores with more than `group` distinct contexts are not brought together: their strings are counted
-   by two digests instead.
+   Cores with more than `group` distinct contexts are not brought together: their contexts are parsed
+   again with a narrower span, whose cores are longer and divide them, and go through steps 2 and 3. At a
+   span of one position the core is the whole string, so contexts of one core are equal.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .common import byte_texts, columns_of, freed, may_be_among, parallelism, reused, small_batches
 from .parsing import PIECE, Parse, Rolling, anchors
 
@@ -35,6 +37,8 @@ WIDE = 512
 CORE_BITS, CONTEXT_BITS = 48, 56
 #: Bytes of a trigger, and the positions among which one is chosen.
 TRIGGER, SPAN = 16, 320
+#: How many times narrower the span of crowded cores becomes.
+NARROWER = 8
 #: Bytes of contexts ordered at once.
 ORDERED = 1 << 19
 
@@ -88,19 +92,21 @@ def ranges(texts: list[bytes], length: int, span: int) -> Iterator[dict[str, np.
         }
 
 
-def _parsed(rows: DataFrame, length: int, span: int) -> DataFrame:
-    """key, at (the range), core, context. rows: key, text."""
+def _parsed(texts: DataFrame, length: int, span: int) -> DataFrame:
+    """key, at (the range, in the document), own, core, context. texts: key, base (where in its document the text starts), own, text."""
     if span > WIDE:
         raise ValueError(f"span must not exceed {WIDE}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            for x in ranges(byte_texts(batch.column(1)), length, span):
-                at = x["low"] * WIDE + x["high"] - x["low"]
+            base = np.asarray(batch.column(1))
+            for x in ranges(byte_texts(batch.column(3)), length, span):
+                at = (x["low"] + base[x["text"]]) * WIDE + x["high"] - x["low"]
                 digests = [x["core"].view(np.uint64) >> np.uint64(64 - CORE_BITS), x["context"].view(np.uint64) >> np.uint64(64 - CONTEXT_BITS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x["text"])), pa.array(at), *(pa.array(d.view(np.int64)) for d in digests)], ["key", "at", "core", "context"])
+                text = pa.array(x["text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(text), pa.array(at), batch.column(2).take(text), *(pa.array(d.view(np.int64)) for d in digests)], ["key", "at", "own", "core", "context"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, at long, core long, context long")
+    return texts.select("key", "base", "own", "text").mapInArrow(run, "key long, at long, own boolean, core long, context long")
 
 
 def _contexts(asked: DataFrame, length: int) -> DataFrame:
@@ -172,55 +178,47 @@ def _ordered(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInPandas(run, "key long, low long, high long")
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same result for contexts of crowded cores, from digests of every string and partially aggregated counts."""
+def _settled(texts: DataFrame, rows: DataFrame, length: int, span: int, group: int) -> tuple[DataFrame, DataFrame | None]:
+    """key, low, high of repeated strings, and the contexts of crowded cores as texts for a narrower span, if there are any.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = rolling(1), rolling(2)
-        for batch in small_batches(batches, 256):
-            texts = batch.column(5).to_pylist()
-            owned = np.asarray(batch.column(3)) + 1
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            sizes = np.array([len(t) for t in texts])
-            number = np.repeat(np.arange(len(texts)), owned)
-            inside = np.arange(int(owned.sum())) - np.repeat(np.cumsum(owned) - owned, owned)
-            at = (np.cumsum(sizes) - sizes)[number] + inside
-            take = pa.array(number)
-            first, second = one.of(one.sums(data), at, at + length), two.of(two.sums(data), at, at + length)
-            low = np.asarray(batch.column(2))[number] + inside
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array(low), batch.column(4).take(take), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["key", "low", "own", "first", "second"])
-
-    strings = contexts.mapInArrow(run, "key long, low long, own boolean, first long, second long")
-    twice = strings.select("first", "second", "key", "low").distinct().groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return strings.where("own").join(twice, ["first", "second"]).select("key", "low", F.col("low").alias("high"))
-
-
-def repeated(rows: DataFrame, length: int = 400, span: int = SPAN, group: int = 4096) -> DataFrame:
-    """key, spans (low, high): where strings of `length` bytes start that start elsewhere too, for documents that have some.
-
-    rows: key (which tells them apart), doc_id, text.
+    texts: as in _parsed; where a text isn't own, its strings are only there to be met by others. rows: key, text.
     """
     parts = parallelism(rows.sparkSession)
-    rows = rows.where(F.octet_length("text") >= length)
-    parsed = reused(_parsed(rows, length, span))
+    parsed = reused(_parsed(texts, length, span))
     # held, so that both sides of the joins with it are plain exchanges, whose skewed partitions Spark can split
     cores = reused(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     # dealt anew by document, so that no file holds a core's rows alone and what is skewed can be split later
     again = reused(parsed.join(cores, "core").repartition(parts, "key", "at"))
     again.count()
     freed(parsed, cores)
-    contexts = reused(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first")))
+    contexts = reused(again.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first"), F.min("own").alias("own")))
     often = contexts.where("n > 1").select("core", "context")
     low, width = F.floor(F.col("at") / WIDE), F.col("at") % WIDE
-    whole = again.join(often, ["core", "context"]).select("key", low.alias("low"), (low + width).alias("high"))
-    mixed = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("open")).where("kinds > 1 and open").select("core", (F.col("kinds") > group).alias("crowded"))
-    mixed = reused(mixed)
-    asked = contexts.join(mixed, "core").select("core", "crowded", "first.*", (F.col("n") == 1).alias("own"))
+    whole = again.where("own").join(often, ["core", "context"]).select("key", low.alias("low"), (low + width).alias("high"))
+    open_ = (F.col("n") == 1) & F.col("own")
+    mixed = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max(open_).alias("open")).where("kinds > 1 and open")
+    mixed = reused(mixed.select("core", (F.lit(span > 1) & (F.col("kinds") > group)).alias("crowded")))
+    asked = contexts.join(mixed, "core").select("core", "crowded", "first.*", open_.alias("own"))
     by_doc = reused(asked.groupBy("key", "crowded").agg(F.collect_list(F.struct("core", "at", "own")).alias("asked")))
-    held = rows.select("key", "text").where(may_be_among(by_doc.select("key"))).join(by_doc, "key")
+    held = rows.where(may_be_among(by_doc.select("key"))).join(by_doc, "key")
     found = whole.unionByName(_ordered(_contexts(held.where("not crowded"), length).repartition(parts, "core").sortWithinPartitions("core"), length))
-    if mixed.where("crowded").limit(1).count():
-        found = found.unionByName(_counted(_contexts(held.where("crowded"), length), length))
+    if not mixed.where("crowded").limit(1).count():
+        return found, None
+    # cut, since a plan over all levels would grow by a factor with each
+    return found, cut(_contexts(held.where("crowded"), length).select("key", F.col("low").alias("base"), "own", F.col("bytes").alias("text")))
+
+
+def repeated(rows: DataFrame, length: int = 400, span: int = SPAN, group: int = 4096) -> DataFrame:
+    """key, spans (low, high): where strings of `length` bytes start that start elsewhere too, for documents that have some.
+
+    rows: key (which tells them apart), doc_id, text.
+    """
+    rows = rows.where(F.octet_length("text") >= length).select("key", "text")
+    found, texts = _settled(rows.select("key", F.lit(0).cast("long").alias("base"), F.lit(True).alias("own"), "text"), rows, length, span, group)
+    while texts is not None:
+        span = max(1, span // NARROWER)
+        more, texts = _settled(texts, rows, length, span, group)
+        found = found.unionByName(more)
     return found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 

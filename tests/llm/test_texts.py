@@ -310,7 +310,7 @@ def brute_removed(texts, length):
         yield t, gone
 
 
-@pytest.mark.parametrize(("length", "span", "group"), [(400, 192, 4096), (60, 24, 4096), (60, 24, 1)])
+@pytest.mark.parametrize(("length", "span", "group"), [(400, 192, 4096), (400, 320, 2), (60, 24, 4096), (60, 24, 1)])
 def test_substrings_equal_brute_force(spark, length, span, group):
     rng = random.Random(length)
     passage = words(rng, 80)
@@ -323,6 +323,16 @@ def test_substrings_equal_brute_force(spark, length, span, group):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), int(gone.sum()), runs, sha(kept)), i
 
 
+def test_crowded_cores_are_divided_by_narrower_spans(spark):
+    rng = random.Random(12)
+    passage, heads, tails = words(rng, 12), [words(rng, 9) for _ in range(20)], [words(rng, 9) for _ in range(20)]
+    texts = [rng.choice(heads)[-rng.randrange(50) :] + passage + rng.choice(tails)[: rng.randrange(50)] + words(rng, 4) for _ in range(120)]
+    want = [int(gone.sum()) for _, gone in brute_removed(texts, 60)]
+    for group in (4096, 3):
+        found = {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(documents(spark, texts), 60, 40, group).collect()}
+        assert [found[i] for i in range(len(texts))] == want, group
+
+
 def test_substrings_over_pieces_of_a_long_text(spark, monkeypatch):
     rng = random.Random(9)
     block = words(rng, 3000)
