@@ -23,7 +23,7 @@ def quantised(field: DataFrame, step: float = 1e-4) -> DataFrame:
 def dense_ids(labels: DataFrame) -> DataFrame:
     """cell_id, cluster_id with clusters renumbered from 0 in order of their ids. The ids alone are put in order, not the cells."""
     ids = labels.select("cluster_id").distinct().withColumn("dense", (F.dense_rank().over(Window.orderBy("cluster_id")) - 1).cast("int"))
-    return labels.join(F.broadcast(ids), "cluster_id").select("cell_id", F.col("dense").alias("cluster_id"))
+    return labels.join(ids, "cluster_id").select("cell_id", F.col("dense").alias("cluster_id"))
 
 
 def write_labels(labels: DataFrame, path: str, mode: str = "errorifexists") -> None:
