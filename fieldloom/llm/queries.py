@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, capfilters, chat, mixing, oracles, packing, pii, quality, secrets, simhash, substrings
+from . import audit, balltree, capfilters, chat, decontamination, mixing, oracles, oracles_counts, packing, pii, productcodes, quality, secrets, simhash, substrings
 from .common import table
 
 TOPK_EVERY = 50
@@ -113,6 +113,18 @@ def op9_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "check")
 
 
+def op11_refinement_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_tree_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return productcodes.compress(table(spark, sf_dir, "embeddings"))[0].drop("label")
+
+
+def op13_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree_top_k": op1_ball_tree_top_k,
     "op2_trigram_secrets": op2_trigram_secrets,
@@ -124,10 +136,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_length_buckets": op8_length_buckets,
     "op9_simhash_anchor_points": op9_simhash_anchor_points,
     "op10_template_chat": op10_template_chat,
+    "op11_refinement_filter_audit": op11_refinement_filter_audit,
+    "op12_tree_product_codes": op12_tree_product_codes,
+    "op13_ngram_decontamination": op13_ngram_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ball_tree_top_k": OP1_SQL,
     "op5_cap_filter_near_duplicates": OP5_SQL,
     "op10_template_chat": OP10_SQL,
-} | oracles.ORACLE_SQL
+} | oracles.ORACLE_SQL | oracles_counts.ORACLE_SQL
