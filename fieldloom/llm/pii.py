@@ -39,6 +39,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
 #: What may stand around an identifier without being part of it.
 _EDGE = ".,;:!?()[]{}<>\"'#$%&*|=`~"
 
@@ -101,17 +102,48 @@ def _pattern(kind: int, a: int, b: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _contexts(text: str, start: int, end: int) -> list[int]:
-    """The patterns around a span."""
-    before, after = text[max(0, start - 80) : start].split()[-2:], text[end : end + 60].lstrip(_EDGE).split()[:1]
-    out = []
-    if len(before) == 2:
-        out.append(_pattern(_TWO, _code(_shape(before[0])), _code(_shape(before[1]))))
-    if before and after:
-        out.append(_pattern(_ROUND, _code(_shape(before[-1])), _code(_shape(after[0]))))
-    if before and before[-1].endswith(_LABELS):
-        out.append(_pattern(_LABEL, _code(before[-1].lower()), 0))
-    return out
+class Around:
+    """The words around spans of a text, as `places` has them: its words are those of str.split, of any length.
+
+    Spans come in order of their starts; those in one word look for its neighbours once.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.begin, self.end = text, 0, -1
+        self.before: list[str] = []
+        self.after: str | None = None
+
+    def _back(self, at: int, n: int) -> list[str]:
+        """The last n words before `at`, whole ones; fewer if there aren't as many."""
+        reach = 64
+        while True:
+            start = max(0, at - reach)
+            found = self.text[start:at].split()
+            if start == 0 or len(found) > n:
+                return found[-n:]
+            reach *= 4
+
+    def _word(self, at: int) -> tuple[int, int]:
+        """Where the word at `at` begins and ends."""
+        gap = _SPACES.search(self.text, at)
+        tail = self._back(at, 1) if at and not self.text[at - 1].isspace() else [""]
+        return at - len(tail[0]), gap.start() if gap else len(self.text)
+
+    def patterns(self, start: int, end: int) -> list[int]:
+        """The patterns around a span, each one of those around its words; a word on either side only of a span in one word."""
+        if not self.begin <= start < self.end:
+            self.begin, self.end = self._word(start)
+            self.before = self._back(self.begin, 2)
+            after = _WORD.search(self.text, self.end)
+            self.after = after[0] if after else None
+        before, out = self.before, []
+        if len(before) == 2:
+            out.append(_pattern(_TWO, _code(_shape(before[0])), _code(_shape(before[1]))))
+        if before and end <= self.end and self.after:
+            out.append(_pattern(_ROUND, _code(_shape(before[-1])), _code(_shape(self.after))))
+        if before and before[-1].endswith(_LABELS):
+            out.append(_pattern(_LABEL, _code(before[-1].lower()), 0))
+        return out
 
 
 class Codes:
@@ -189,8 +221,9 @@ def _survey(rows: DataFrame) -> DataFrame:
                 for k in range(4):
                     counts[k].append(sum(s[0] == k for s in spans))
                 bases.append(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans))
-                both = [(a, b, True) for _, a, b in spans] + [(a, b, False) for a, b in identifiers(text, spans)]
-                found.append([{"start": a, "end": b, "seed": s, "instance": text[a:b], "patterns": p} for a, b, s in both if (p := _contexts(text, a, b))])
+                both = sorted([(a, b, True) for _, a, b in spans] + [(a, b, False) for a, b in identifiers(text, spans)])
+                around = Around(text)
+                found.append([{"start": a, "end": b, "seed": s, "instance": text[a:b], "patterns": p} for a, b, s in both if (p := around.patterns(a, b))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(found, seen)], ["doc_id", "digest", *(f"n_{k}" for k in KINDS), "base", "seen"])
 
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
@@ -200,7 +233,7 @@ def _survey(rows: DataFrame) -> DataFrame:
 def _counted(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """pattern, places: how often each of the asked patterns stands around anything in the texts of rows."""
     n = asked.count()
-    wanted = np.sort(np.array([r["pattern"] for r in asked.collect()], np.int64)) if n <= BROADCAST_PATTERNS else None
+    wanted = np.sort(asked.toArrow()["pattern"].to_numpy()) if n <= BROADCAST_PATTERNS else None
     sent = asked.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +296,8 @@ def extract(docs: DataFrame, confidence: float = 0.8, support: int = 3) -> DataF
     Spans are kind:start:end in code points (end exclusive), by kind, then start, comma-joined; spans
     that contexts add have the kind `context` and come last. Null texts are empty. Documents without id
     count like others; rows that repeat a document get its spans each. A pattern or an instance of any
-    share of the rows is summed up in parts. The words around are counted in parts of a long text; the
-    spans of one text are held together. No rows in, no rows out.
+    share of the rows is summed up in parts. Words around a span count whole, however long; they are counted
+    in parts of a long text. The spans of one text are held together. No rows in, no rows out.
     """
     rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     survey = reused(_survey(rows))

@@ -114,3 +114,13 @@ def test_trigram_queries_never_miss(text):
         holds = lambda q: q.kind == "any" or (q.tri in text if q.kind == "tri" else (all if q.kind == "and" else any)(map(holds, q.parts)))  # noqa: B023, E731
         if re.search(pattern, text):
             assert holds(query)
+
+
+@given(st.text(alphabet="a1@. \t\n\x1f\xa0:é" + "b" * 20, max_size=300), st.integers(1, 200))
+def test_patterns_of_any_span_are_among_the_places(text, stretch):
+    text = text.replace("b", "b" * stretch)
+    every = {p for x in pii.places(text, pii.Codes()) for p in x.tolist()}
+    around = pii.Around(text)
+    spans = pii.base_spans(text)
+    for a, b in sorted([(a, b) for _, a, b in spans] + pii.identifiers(text, spans)):
+        assert set(around.patterns(a, b)) <= every

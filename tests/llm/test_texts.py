@@ -284,7 +284,8 @@ def test_places_of_patterns_don_t_depend_on_parts(step):
     assert count(step) == count(1 << 20)
     tokens = [(m.start(), m.end()) for m in __import__("re").finditer(r"\S+", text)]
     every = set(count(1 << 20))
-    assert all(p in every for a, b in tokens[2:-1] for p in pii._contexts(text, a, b))
+    around = pii.Around(text)
+    assert all(p in every for a, b in tokens[2:-1] for p in around.patterns(a, b))
 
 
 def test_personal_data_in_a_long_text(spark):
@@ -348,3 +349,18 @@ def test_substrings_of_no_rows_and_repeated_rows(spark):
     found = substrings.deduplicate(documents(spark, [text, text], [3, 3])).collect()
     assert [r["n_removed"] for r in found] == [len(text)] * 2
     assert len(CLASHING) > 5
+
+
+def test_patterns_of_spans_beside_long_words_are_counted():
+    """Words of any length around an identifier, many identifiers in one word, several words in a span."""
+    long = "x" * 5000
+    text = f"{long} of {long} a@b.cc {long} tel: +1 (202) 555 0101, {long}: 10.0.0.1 " + ",".join(f"u{k}@d.ee" for k in range(2000)) + f" {long} end"
+    every = set(np.concatenate(list(pii.places(text, pii.Codes()))).tolist())
+    around, n = pii.Around(text), 0
+    for a, b in sorted((a, b) for _, a, b in pii.base_spans(text)):
+        patterns = around.patterns(a, b)
+        n += len(patterns)
+        assert set(patterns) <= every
+    assert n > 4000
+    words = [pii._code(pii._shape(w)) for w in text.split()]
+    assert pii.Around(text).patterns(text.index("a@b.cc"), text.index("a@b.cc") + 6) == [pii._pattern(pii._TWO, words[1], words[2]), pii._pattern(pii._ROUND, words[2], words[4])]
