@@ -12,8 +12,9 @@ words, so the chance grows a little with the code. Measured on pairs at 0.9501 i
 found up to 2^17 vectors, 0.98 and more from 2^21 to 2^30.
 
 A vector travels once for each first half of its directions, with the second halves beside it, so the
-filters that begin alike are compared where their vectors are already. Filters in which very many
-vectors meet are dealt over pairs of blocks.
+filters that begin alike are compared where their vectors are already. Where very many vectors share a
+first half, as they do if all have a direction in common, they are dealt out by their second halves too;
+filters in which very many vectors meet are dealt over pairs of blocks.
 """
 
 from __future__ import annotations
@@ -177,20 +178,53 @@ def _compare(routed: DataFrame, n: int, per_vector: int, least: int, seed: int,
                         yield from settled(p[s + i], q[j], f)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []  # rows whose last group may go on
+        group = ["half", "low", "high"]
         for x in frames:
-            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
-            last = (x[["half", "low", "high"]].to_numpy() == x[["half", "low", "high"]].iloc[-1].to_numpy()).all(axis=1)
-            cutting = len(x) - int(last.sum())
-            rest = x.iloc[cutting:]
-            if cutting:
+            keys = x[group].to_numpy()
+            cutting = len(x) - int((keys == keys[-1]).all(axis=1).sum())
+            if held and (cutting or (held[-1][group].iloc[-1].to_numpy() != keys[-1]).any()):
+                yield from work(pd.concat([*held, x.iloc[:cutting]], ignore_index=True))
+                held = []
+            elif cutting:
                 yield from work(x.iloc[:cutting].reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield from work(rest.reset_index(drop=True))
+            held.append(x.iloc[cutting:])
+        if held:
+            yield from work(pd.concat(held, ignore_index=True))
 
     return routed.mapInPandas(run, "kind int, a long, b long")
 
 
+def _routed(placed: DataFrame, classes: DataFrame, n: int, per_vector: int, group: int, seed: int) -> DataFrame:
+    """Where vectors are compared: half, low, high, side, class_id, copies, v, ends. placed: class_id, copies, v, filters, split (the blocks of crowded filters).
+
+    No group (half, low, high) has many more than 4 * `group` vectors: a first half in which more filters meet is
+    dealt out by second halves, a single filter of more than `group` by pairs of blocks.
+    """
+    # a filter's number is (first half * size^2 + second half) * 4099 + dimension mod 4099; the size follows from the vectors' length
+    sizes = F.create_map(*[F.lit(x) for d in [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()] for x in (d, code(d, n, per_vector, seed).size ** 2)])
+    square = F.try_element_at(sizes, F.size("v")).cast("long")
+    first, second = (lambda f: F.floor(F.floor(f / 4099) / square)), (lambda f: F.floor(f / 4099) % square)
+    dimension = F.size("v") % 4099
+    calm = placed.withColumn("filters", F.filter("filters", lambda f: ~F.map_contains_key("split", f)))
+    firsts = F.array_distinct(F.transform("filters", lambda f: first(f)))
+    ends = lambda h: F.transform(F.filter("filters", lambda f: first(f) == h), lambda f: second(f))
+    halves = calm.select("class_id", F.explode(F.transform(firsts, lambda h: F.struct((h * 4099 + dimension).alias("half"), F.size(ends(h)).alias("n")))).alias("x")).select("class_id", "x.half", "x.n")
+    full = reused(halves.groupBy("half").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * group).select("half", F.ceil(F.col("n") / (4 * group)).cast("int").alias("deals")))
+    deals = halves.join(full, "half").groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("half", "deals"))).alias("deals"))
+    calm = calm.join(deals, "class_id", "left").select("class_id", "copies", "v", "filters", "deals", F.explode(firsts).alias("first")).withColumn("half", F.col("first") * 4099 + dimension)
+    calm = calm.withColumns({"ends": ends(F.col("first")), "deals": F.coalesce(F.try_element_at("deals", "half"), F.lit(1))})
+    deal = lambda e: F.pmod(F.xxhash64(e), F.col("deals")).cast("int")
+    calm = calm.select("half", "class_id", "copies", "v", "ends", "deals", F.explode(F.array_distinct(F.transform("ends", deal))).alias("deal"))
+    own = -F.col("deal")
+    calm = calm.select("half", own.alias("low"), own.alias("high"), own.alias("side"), "class_id", "copies", "v", F.filter("ends", lambda e: deal(e) == F.col("deal")).alias("ends"))
+    hot = placed.select("class_id", "copies", "v", F.explode("split").alias("filter", "blocks"))
+    hot = hot.withColumn("side", F.pmod(F.xxhash64("class_id", "filter"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # blocks are numbered apart from those of other filters with the same first half, by sorting the rows by these too
+    hot = hot.select((first(F.col("filter")) * 4099 + dimension).alias("half"), (F.least("side", "to") + 1).alias("low"), (F.greatest("side", "to") + 1).alias("high"), (F.col("side") + 1).alias("side"), "class_id", "copies", "v", F.array(second(F.col("filter"))).alias("ends"))
+    return calm.unionByName(hot)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_vector: int = 40, least: int = 24, group: int = 1024, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
@@ -216,23 +250,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_vector: int =
     crowded = reused(crowded)
     split = members.join(crowded, "filter").groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("filter", "blocks"))).alias("split"))
     placed = decoded.join(split, "class_id", "left").withColumn("split", F.coalesce("split", F.create_map().cast("map<bigint,int>")))
-    # a filter's number is (first half * size^2 + second half) * 4099 + dimension mod 4099; the size follows from the vectors' length
-    sizes = F.create_map(*[F.lit(x) for d in [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()] for x in (d, code(d, n, per_vector, seed).size ** 2)])
-    square = F.try_element_at(sizes, F.size("v")).cast("long")
-    first, second = (lambda f: F.floor(F.floor(f / 4099) / square)), (lambda f: F.floor(f / 4099) % square)
-    dimension = F.size("v") % 4099
-    calm = placed.withColumn("filters", F.filter("filters", lambda f: ~F.map_contains_key("split", f)))
-    halves = F.array_distinct(F.transform("filters", lambda f: first(f)))
-    calm = calm.select("class_id", "copies", "v", "filters", F.explode(halves).alias("first"))
-    ends = F.transform(F.filter("filters", lambda f: first(f) == F.col("first")), lambda f: second(f))
-    zero = F.lit(0)
-    calm = calm.select((F.col("first") * 4099 + dimension).alias("half"), zero.alias("low"), zero.alias("high"), zero.alias("side"), "class_id", "copies", "v", ends.alias("ends"))
-    hot = placed.select("class_id", "copies", "v", F.explode("split").alias("filter", "blocks"))
-    hot = hot.withColumn("side", F.pmod(F.xxhash64("class_id", "filter"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # blocks are numbered apart from those of other filters with the same first half, by sorting the rows by these too
-    hot = hot.select((first(F.col("filter")) * 4099 + dimension).alias("half"), (F.least("side", "to") + 1).alias("low"), (F.greatest("side", "to") + 1).alias("high"), (F.col("side") + 1).alias("side"), "class_id", "copies", "v", F.array(second(F.col("filter"))).alias("ends"))
-    routed = calm.unionByName(hot).repartition(parts, "half", "low", "high").sortWithinPartitions("half", "low", "high")
-    found = cut(_compare(routed, n, per_vector, least, seed, cosine))
+    found = cut(_compare(_routed(placed, classes, n, per_vector, group, seed).repartition(parts, "half", "low", "high").sortWithinPartitions("half", "low", "high"), n, per_vector, least, seed, cosine))
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
     roots = components(found.where("kind = 1").select("a", "b"))
     labelled = classes.select("class_id", "first_id", "copies").join(counts.withColumnRenamed("a", "class_id"), "class_id", "left").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")

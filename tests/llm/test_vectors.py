@@ -107,6 +107,30 @@ def test_cap_filters_equal_brute_force(spark, group):
         assert found[i]["kept"] == (roots[i] == i)
 
 
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.4, 0.64, 0.8])
+def test_cap_filters_of_vectors_that_share_a_direction(spark, mean_cosine, monkeypatch):
+    """No group is much larger than its bound, and links are those of brute force, among them pairs near the threshold."""
+    rng = np.random.default_rng(11)
+    n, d, group = 1500, 32, 64
+    x = rng.normal(size=(n, d)) / math.sqrt(d)
+    x = math.sqrt(1 - mean_cosine) * x + math.sqrt(mean_cosine) * np.eye(d)[0]
+    y = x[:300] + 0.3 * np.linalg.norm(x[:300], axis=1, keepdims=True) * rng.normal(size=(300, d)) / math.sqrt(d)
+    vectors = np.concatenate([x, y]).astype(np.float32)
+    sizes = []
+    made = capfilters._routed
+    monkeypatch.setattr(capfilters, "_routed", lambda *a: sizes.append(made(*a)) or sizes[0])
+    found = {r["vec_id"]: r["n_links"] for r in capfilters.near_duplicates(rows(spark, vectors.tolist()), group=group).collect()}
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.95).sum(axis=1) - 1
+    got = np.array([found[k] for k in range(len(vectors))])
+    assert (got <= want).all()
+    assert got.sum() >= 0.98 * want.sum() > 0
+    # blocks of one filter share a group with those of others that begin alike
+    calm = sizes[0].where("low <= 0").groupBy("half", "low").count().agg(F.max("count")).first()[0]
+    assert calm <= 4 * 4 * group
+
+
 def test_cap_filters_recall_at_the_threshold(spark):
     """Pairs at cosine 0.95 exactly, the hardest ones to meet."""
     rng = np.random.default_rng(4)
