@@ -2,30 +2,79 @@
 
 Per cluster the state (n, sum of x, sum of x x^T) adds up over any parts of the cells, so it is made
 per Arrow batch, summed in two steps, and gives mean, basis, explained share and cost at once: the
-cost after a fresh fit is the trace of the scatter less its top eigenvalues. The fitted subspaces are
+cost after a fresh fit is the trace of the scatter less its top eigenvalues. While a part has fewer
+cells than times, their series stand for the sum of x x^T, being less. The fitted subspaces are
 k matrices of m by T numbers, whatever the number of cells; those go to the executors with the kernel.
+
+A round of a loop is one pass over series that stay where they are: a task assigns its cells by the old
+subspaces and adds up the new states at once (assigned_states), on boundaries likewise with the labels of
+neighbouring cells, which are all that moves between blocks of cells (boundary_round).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..schema import SUBSPACES
 
 #: Partial states are first merged in so many parts a cluster.
 FAN = 16
-_STATE = "cluster_id int, part int, n long, s binary, g binary"
+#: d: squared distances to the subspaces that assigned the cells; mark: see marks().
+_STATE = "cluster_id int, part int, n long, s binary, g binary, d double, mark long"
+_FITTED = f"{SUBSPACES}, d double, mark long"
+
+
+class State:
+    """n, the sum of series, and the sum of their outer products or, as long as they are fewer than times, the series."""
+
+    def __init__(self, n: int, s: np.ndarray, held: np.ndarray, d: float = 0.0, mark: int = 0):
+        self.n, self.s, self.d, self.mark = n, s, d, mark
+        self.held = held
+
+    @classmethod
+    def of(cls, x: np.ndarray, d: float = 0.0, mark: int = 0) -> State:
+        return cls(len(x), x.sum(0), x if len(x) < x.shape[1] else x.T @ x, d, mark)
+
+    @property
+    def gram(self) -> np.ndarray:
+        return self.held.T @ self.held if self.n < len(self.s) else self.held
+
+    def add(self, other: State) -> None:
+        few = self.n + other.n < len(self.s)
+        self.held = np.concatenate([self.held, other.held]) if few else self.gram + other.gram
+        self.n, self.s = self.n + other.n, self.s + other.s
+        self.d, self.mark = self.d + other.d, self.mark ^ other.mark
+
+    def row(self, cluster: int, part: int) -> tuple:
+        return int(cluster), part, self.n, self.s.tobytes(), np.ascontiguousarray(self.held).tobytes(), self.d, self.mark
+
+
+_COLUMNS = ["cluster_id", "part", "n", "s", "g", "d", "mark"]
+
+
+def _total(x: pd.DataFrame) -> State:
+    total = None
+    for n, s, g, d, mark in x[["n", "s", "g", "d", "mark"]].itertuples(index=False):
+        s = np.frombuffer(s)
+        state = State(int(n), s, np.frombuffer(g).reshape(-1, len(s)), float(d), int(mark))
+        if total is None:
+            total = state
+        else:
+            total.add(state)
+    return total
 
 
 def _merged(x: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    s = sum(np.frombuffer(b) for b in x["s"])
-    return int(x["n"].sum()), s, sum(np.frombuffer(b) for b in x["g"]).reshape(len(s), len(s))
+    total = _total(x)
+    return total.n, total.s, total.gram
 
 
 def no_rows(*columns: str) -> pd.DataFrame:
@@ -33,29 +82,69 @@ def no_rows(*columns: str) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
 
 
-def states(labelled: DataFrame) -> DataFrame:
-    """cluster_id, n, s, g of rows (cluster_id, x); x without nulls."""
+def marks(cells: np.ndarray, labels: np.ndarray) -> int:
+    """A digest of which cell has which label: the exclusive or over all, so that parts add up in any order."""
+    x = cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + labels.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return int(np.bitwise_xor.reduce(x ^ (x >> np.uint64(31))).astype(np.int64)) if len(x) else 0
+
+
+def _merge_parts(parts: DataFrame, twice: bool = True) -> DataFrame:
+    """States of the same cluster put together, in two steps if there are many parts; in order of parts, so that equal labels give equal states."""
 
+    def merge(x: pd.DataFrame) -> pd.DataFrame:
+        cluster = x["cluster_id"].iloc[0]
+        return pd.DataFrame([_total(x.sort_values("part")).row(cluster, int(x["part"].min()))], columns=_COLUMNS)
+
+    if twice:
+        parts = parts.groupBy("cluster_id", (F.col("part") % FAN).alias("fan")).applyInPandas(lambda _, x: merge(x), _STATE)
+    return parts
+
+
+def _partial(labelled: DataFrame, columns: list[str], label: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+        held: dict[int, State] = {}
         for f in frames:
-            for c, rows in f.groupby("cluster_id")["x"]:
-                x = np.stack(rows.to_numpy()).astype(np.float64)
+            if not len(f):
+                continue
+            x = np.stack(f["x"].to_numpy()).astype(np.float64)
+            labels, d, cells = label(f, x)
+            for c in np.unique(labels).tolist():
+                own = labels == c
+                state = State.of(x[own], float(d[own].sum()), marks(cells[own], labels[own]))
                 if c in held:
-                    a = held[c]
-                    a[0], a[1], a[2] = a[0] + len(x), a[1] + x.sum(0), a[2] + x.T @ x
+                    held[c].add(state)
                 else:
-                    held[c] = [len(x), x.sum(0), x.T @ x]
+                    held[c] = state
         if held:
-            part = (TaskContext.get().partitionId() if TaskContext.get() else 0) % FAN
-            yield pd.DataFrame([(c, part, a[0], a[1].tobytes(), a[2].tobytes()) for c, a in held.items()], columns=["cluster_id", "part", "n", "s", "g"])
+            part = TaskContext.get().partitionId() if TaskContext.get() else 0
+            yield pd.DataFrame([state.row(c, part) for c, state in held.items()], columns=_COLUMNS)
+
+    return labelled.select(*columns).mapInPandas(partial, _STATE)
+
+
+def states(labelled: DataFrame) -> DataFrame:
+    """cluster_id, n, s, g of rows (cluster_id, x, and cell_id if marks are asked for); x without nulls."""
+    named = "cell_id" in labelled.columns
+
+    def label(f: pd.DataFrame, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        labels = f["cluster_id"].to_numpy().astype(np.int64)
+        return labels, np.zeros(len(f)), f["cell_id"].to_numpy() if named else labels
+
+    rows = labelled.where("cluster_id is not null and x is not null")
+    return _merge_parts(_partial(rows, ["cluster_id", "x", *(["cell_id"] if named else [])], label))
 
-    def merge(x: pd.DataFrame) -> pd.DataFrame:
-        n, s, g = _merged(x)
-        return pd.DataFrame([(x["cluster_id"].iloc[0], 0, n, s.tobytes(), g.tobytes())], columns=["cluster_id", "part", "n", "s", "g"])
 
-    first = labelled.where("cluster_id is not null and x is not null").select("cluster_id", "x").mapInPandas(partial, _STATE)
-    return first.groupBy("cluster_id", "part").applyInPandas(merge, _STATE).groupBy("cluster_id").applyInPandas(merge, _STATE)
+def assigned_states(series: DataFrame, subspaces: Subspaces) -> DataFrame:
+    """The states of the clusters that series (cell_id, x) are nearest to; d is their squared distances. Labels are neither kept nor moved."""
+
+    def label(f: pd.DataFrame, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = subspaces.distances(x)
+        best = d.argmin(axis=1)
+        return subspaces.ids[best], d[np.arange(len(d)), best], f["cell_id"].to_numpy()
+
+    return _merge_parts(_partial(series, ["cell_id", "x"], label))
 
 
 def spectrum(n: int, s: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,17 +164,25 @@ def fit(labelled: DataFrame, m: int) -> DataFrame:
     A cluster of m cells or fewer has no row; series that aren't finite raise.
     """
 
+    return fit_states(states(labelled), m).where("mean is not null").drop("d", "mark")
+
+
+def fit_states(found: DataFrame, m: int) -> DataFrame:
+    """subspaces of states, with d and mark of each; a cluster of m cells or fewer has neither mean nor basis."""
+
     def one(x: pd.DataFrame) -> pd.DataFrame:
-        n, s, g = _merged(x)
-        if n <= m:
-            return no_rows("cluster_id", "n", "mean", "basis", "explained", "total_ss", "residual_ss")
-        if not np.isfinite(g).all():
-            raise RuntimeError("series with values that aren't finite can't be fitted")
-        mean, values, vectors = spectrum(n, s, g)
-        total, kept = float(values.sum()), float(values[:m].sum())
-        return pd.DataFrame({"cluster_id": [x["cluster_id"].iloc[0]], "n": [n], "mean": [mean.tolist()], "basis": [vectors[:m].tolist()], "explained": [kept / total if total > 0 else 1.0], "total_ss": [total], "residual_ss": [max(0.0, total - kept)]})
+        state = _total(x.sort_values("part"))
+        n, s, g = state.n, state.s, state.gram
+        row = {"cluster_id": [x["cluster_id"].iloc[0]], "n": [n], "mean": [None], "basis": [None], "explained": [None], "total_ss": [None], "residual_ss": [None], "d": [state.d], "mark": [state.mark]}
+        if n > m:
+            if not np.isfinite(g).all():
+                raise RuntimeError("series with values that aren't finite can't be fitted")
+            mean, values, vectors = spectrum(n, s, g)
+            total, kept = float(values.sum()), float(values[:m].sum())
+            row |= {"mean": [mean.tolist()], "basis": [vectors[:m].tolist()], "explained": [kept / total if total > 0 else 1.0], "total_ss": [total], "residual_ss": [max(0.0, total - kept)]}
+        return pd.DataFrame(row)
 
-    return states(labelled).groupBy("cluster_id").applyInPandas(one, SUBSPACES)
+    return found.groupBy("cluster_id").applyInPandas(one, _FITTED)
 
 
 def costs(labelled: DataFrame, dimensions: list[int]) -> DataFrame:
@@ -115,7 +212,17 @@ class Subspaces:
     """Fitted subspaces on the driver: at most k means and bases."""
 
     def __init__(self, frame: DataFrame):
-        rows = sorted(frame.select("cluster_id", "mean", "basis", "explained", "residual_ss").collect(), key=lambda r: r["cluster_id"])
+        self._hold(frame.select("cluster_id", "mean", "basis", "explained", "residual_ss").collect())
+
+    @classmethod
+    def of_states(cls, found: DataFrame, m: int) -> tuple[Subspaces, float, int]:
+        """The fitted subspaces, the sum of d and the mark over all clusters, those without a subspace too."""
+        rows, out = fit_states(found, m).collect(), cls.__new__(cls)
+        out._hold([r for r in rows if r["mean"] is not None])
+        return out, float(sum(r["d"] for r in sorted(rows, key=lambda r: r["cluster_id"]))), reduce(xor, (r["mark"] for r in rows), 0)
+
+    def _hold(self, rows: list[Row]) -> None:
+        rows = sorted(rows, key=lambda r: r["cluster_id"])
         self.ids = np.array([r["cluster_id"] for r in rows], np.int64)
         self.means = [np.array(r["mean"]) for r in rows]
         self.bases = [np.array(r["basis"]).reshape(-1, len(r["mean"])) for r in rows]
@@ -150,6 +257,11 @@ def distances(series: DataFrame, subspaces: Subspaces) -> DataFrame:
     return series.select("cell_id", "x").mapInPandas(run, "cell_id long, clusters array<int>, d array<double>")
 
 
+def nearest(series: DataFrame, subspaces: Subspaces) -> DataFrame:
+    """cell_id, clusters, d and cluster_id: all distances, and the nearest subspace, ties to the least id."""
+    return distances(series, subspaces).withColumn("cluster_id", F.get("clusters", F.array_position("d", F.array_min("d")).cast("int") - 1))
+
+
 def rank_profile(found: DataFrame) -> DataFrame:
     """rank, d: the mean over cells of their distances in ascending order. found: as distances() gives it."""
     return found.select(F.posexplode(F.array_sort("d")).alias("rank", "d")).groupBy("rank").agg(F.avg("d").alias("d"))
@@ -174,6 +286,23 @@ def assign(series: DataFrame, subspaces: Subspaces) -> DataFrame:
     return series.select("cell_id", "x").mapInPandas(run, "cell_id long, cluster_id int, d double")
 
 
+def _boundary(x: np.ndarray, labels: np.ndarray, near: list, subspaces: Subspaces) -> tuple[np.ndarray, np.ndarray]:
+    """(new label, its squared distance) of each row. near: labels of neighbours, or None; labels all have a subspace."""
+    place = {int(c): k for k, c in enumerate(subspaces.ids)}
+    d = subspaces.distances(x)
+    open_ = np.zeros(d.shape, bool)
+    own = np.array([place[c] for c in labels.tolist()], np.int64)
+    for r, others in enumerate(near):
+        if others is not None:
+            open_[r, [place[c] for c in others if c in place]] = True
+    at = np.arange(len(d))
+    open_[at, own] = False
+    there = np.where(open_, d, np.inf)
+    best = there.argmin(axis=1)
+    to = np.where(there[at, best] < d[at, own], best, own)
+    return subspaces.ids[to], d[at, to]
+
+
 def move_boundary(labelled: DataFrame, subspaces: Subspaces) -> DataFrame:
     """cell_id, cluster_id, was, d after one synchronous step. labelled: cell_id, cluster_id, x and clusters (labels of neighbours, null inside a cluster).
 
@@ -182,22 +311,78 @@ def move_boundary(labelled: DataFrame, subspaces: Subspaces) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = {int(c): k for k, c in enumerate(subspaces.ids)}
         for f in frames:
-            f = f[f["cluster_id"].isin(list(place))]
-            if not len(f):
-                continue
-            d = subspaces.distances(np.stack(f["x"].to_numpy()).astype(np.float64))
-            open_ = np.zeros(d.shape, bool)
-            own = f["cluster_id"].map(place).to_numpy()
-            for r, near in enumerate(f["clusters"]):
-                if near is not None:
-                    open_[r, [place[c] for c in near if c in place]] = True
-            at = np.arange(len(f))
-            open_[at, own] = False
-            there = np.where(open_, d, np.inf)
-            best = there.argmin(axis=1)
-            to = np.where(there[at, best] < d[at, own], best, own)
-            yield pd.DataFrame({"cell_id": f["cell_id"], "cluster_id": subspaces.ids[to].astype(np.int32), "was": f["cluster_id"].astype(np.int32), "d": d[at, to]})
+            f = f[f["cluster_id"].isin(subspaces.ids)]
+            if len(f):
+                was = f["cluster_id"].to_numpy().astype(np.int64)
+                labels, d = _boundary(np.stack(f["x"].to_numpy()).astype(np.float64), was, list(f["clusters"]), subspaces)
+                yield pd.DataFrame({"cell_id": f["cell_id"], "cluster_id": labels.astype(np.int32), "was": was.astype(np.int32), "d": d})
 
     return labelled.select("cell_id", "cluster_id", "x", "clusters").mapInPandas(run, "cell_id long, cluster_id int, was int, d double")
+
+
+#: Cells of a block.
+BLOCK = 4096
+
+
+def blocked(series: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(block, cell_id, x, near, to; the number of blocks) of series (cell_id, x): cells by ranges of ids, in blocks that stay in their partitions.
+
+    near: the neighbours of a cell by edges (src, dst); to: the blocks that need its label, its own first. Kept on
+    the executors' disks with its lineage; the caller gives it up.
+    """
+    r = series.agg(F.count(F.lit(1)).alias("n"), F.min("cell_id").alias("a"), F.max("cell_id").alias("b")).first()
+    blocks = max(1, min(int(r["n"]), max(series.sparkSession.sparkContext.defaultParallelism, -(-int(r["n"]) // BLOCK))))
+    width = max(1, -(-((r["b"] or 0) - (r["a"] or 0) + 1) // blocks))
+    block = lambda c: F.floor((F.col(c) - F.lit(r["a"] or 0)) / F.lit(width)).cast("int")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    around = both.groupBy(F.col("src").alias("cell_id")).agg(F.sort_array(F.collect_set("dst")).alias("near"), F.collect_set(block("dst")).alias("others"))
+    rows = series.select("cell_id", "x").join(around, "cell_id", "left").withColumn("block", block("cell_id"))
+    rows = rows.select("block", "cell_id", "x", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"), F.array_distinct(F.concat(F.array("block"), F.coalesce("others", F.array().cast("array<int>")))).alias("to"))
+    return rows.repartition(blocks, "block").sortWithinPartitions("block").persist(StorageLevel.DISK_ONLY), blocks
+
+
+_ROUND = f"cell_id long, to array<int>, {_STATE}"
+
+
+def boundary_round(held: DataFrame, labels: DataFrame, subspaces: Subspaces) -> DataFrame:
+    """One synchronous step of move_boundary and the states of the new clusters, in the tasks that have the series.
+
+    held: see blocked(); labels: cell_id, cluster_id, to. Rows with a cell_id are the new labels (with to);
+    the others are states, whose mark is that of the cells that moved. Cells
+    whose cluster has no subspace are dropped.
+    """
+
+    def run(known: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(known["cell_id"].to_numpy(), kind="stable")
+        ids, clusters = known["cell_id"].to_numpy()[order], known["cluster_id"].to_numpy().astype(np.int64)[order]
+
+        def label(cells: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(ids, cells), len(ids) - 1)
+            return np.where(ids[at] == cells, clusters[at], -1)
+
+        empty = no_rows("cell_id", "to", *_COLUMNS)
+        if not len(f) or not len(ids):
+            return empty
+        was = label(f["cell_id"].to_numpy())
+        keep = np.isin(was, subspaces.ids)
+        f, was = f[keep], was[keep]
+        if not len(f):
+            return empty
+        near = [label(np.asarray(n)) if len(n) else None for n in f["near"]]
+        x, cells = np.stack(f["x"].to_numpy()).astype(np.float64), f["cell_id"].to_numpy()
+        fresh, d = _boundary(x, was, [None if n is None else n[n >= 0].tolist() for n in near], subspaces)
+        block = int(f["block"].iloc[0])
+        rows = [(c, to, k, *[None] * 6) for c, to, k in zip(cells.tolist(), f["to"], fresh.tolist(), strict=True)]
+        for c in np.unique(fresh).tolist():
+            own, moved = fresh == c, (fresh == c) & (fresh != was)
+            rows.append((None, None, *State.of(x[own], float(d[own].sum()), marks(cells[moved], fresh[moved])).row(c, block)))
+        return pd.DataFrame(rows, columns=["cell_id", "to", *_COLUMNS], dtype=object)
+
+    sent = labels.select(F.explode("to").alias("block"), "cell_id", "cluster_id")
+    return sent.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(run, _ROUND)
+
+
+def round_states(found: DataFrame, blocks: int) -> DataFrame:
+    """The states that a boundary round gives."""
+    return _merge_parts(found.where("cell_id is null").select(*_COLUMNS), blocks > 4 * FAN)
