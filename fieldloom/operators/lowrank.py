@@ -354,8 +354,8 @@ def boundary_round(held: DataFrame, labels: DataFrame, subspaces: Subspaces) ->
     """
 
     def run(known: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["cell_id"].to_numpy(), kind="stable")
-        ids, clusters = known["cell_id"].to_numpy()[order], known["cluster_id"].to_numpy().astype(np.int64)[order]
+        order = np.argsort(known["cell"].to_numpy(), kind="stable")
+        ids, clusters = known["cell"].to_numpy()[order], known["label"].to_numpy().astype(np.int64)[order]
 
         def label(cells: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(ids, cells), len(ids) - 1)
@@ -379,8 +379,9 @@ def boundary_round(held: DataFrame, labels: DataFrame, subspaces: Subspaces) ->
             rows.append((None, None, *State.of(x[own], float(d[own].sum()), marks(cells[moved], fresh[moved])).row(c, block)))
         return pd.DataFrame(rows, columns=["cell_id", "to", *_COLUMNS], dtype=object)
 
-    sent = labels.select(F.explode("to").alias("block"), "cell_id", "cluster_id")
-    return sent.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(run, _ROUND)
+    # names of their own, since labels may stem from the table that has the series
+    sent = labels.select(F.explode("to").alias("at"), F.col("cell_id").alias("cell"), F.col("cluster_id").alias("label"))
+    return sent.groupBy("at").cogroup(held.groupBy("block")).applyInPandas(run, _ROUND)
 
 
 def round_states(found: DataFrame, blocks: int) -> DataFrame:

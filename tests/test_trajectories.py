@@ -124,6 +124,16 @@ def test_trajectories_equal_the_loop_in_numpy(spark, strategy, m, monkeypatch):
     assert {r["cell_id"]: r["cluster_id"] for r in got.labels.collect()} == best
 
 
+def test_labels_from_the_table_of_series(spark):
+    """Labels and series that stem from one table, as in the queries."""
+    x, labels = start(5)
+    series = grid_of(spark, x).series.join(spark.createDataFrame([(k, int(c)) for k, c in enumerate(labels)], "cell_id long, cluster_id int"), "cell_id")
+    series = cut(series)
+    grid = refine.Grid(series, cut(stencil.neighbours(series)), cut(stencil.neighbours(series, stencil.FOUR)), series.select("lat_idx", "lon_idx", "latitude", "longitude"), COLUMNS)
+    got = refine.run(grid, series.select("cell_id", "cluster_id"), "integrated", 1, 4, max_iter=2)
+    assert got.labels.count() == len(x)
+
+
 @pytest.mark.parametrize(("strategy", "most"), [("post_merge", 3), ("integrated", 4)])
 def test_jobs_of_a_round(spark, strategy, most):
     x, labels = start(7, noise=1.5, wrong=0.7)
