@@ -7,6 +7,7 @@ a coarse grid round the globe.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from ..config import Refinement
 from ..functions import geo
 from ..functions.distances import residual
-from ..lineage import cut
+from ..lineage import cut, shared_dir
 from ..operators import agglomeration, centroids, gradients, graph, lowrank, masks, modes, pairs, regrid, smoothing, stencil
-from ..sources import fields, sinks
+from ..sources import fields, netcdf, sinks
 from . import oracles, oracles_clusters, refine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +153,15 @@ def field_union(spark: SparkSession, d: str) -> DataFrame:
     return early.unionByName(late).groupBy("t").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("sla")).alias("mean"))
 
 
+@query
+def netcdf_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The field as NetCDF files that the executors write, scanned from a time and a row on."""
+    folder = f"{shared_dir(spark)}/netcdf-{uuid.uuid4().hex}"
+    netcdf.write_netcdf(fields.lineitem_field(spark, d), folder)
+    found = netcdf.read_netcdf(spark, folder).where("time >= 12 and lat_idx >= 1 and sla is not null")
+    return found.select("cell_id", F.col("time").cast("int").alias("t"), "latitude", "longitude", r6("sla").alias("sla"))
+
+
 # --- pairs ------------------------------------------------------------------------------------------
 
 

@@ -118,6 +118,7 @@ ORACLE_SQL: dict[str, str] = {
     "gradient_magnitude": "GRADIENT SELECT cell_id, round(magnitude, 6) AS magnitude FROM g",
     "gradient_summary": "GRADIENT SELECT round(avg(magnitude), 6) AS mean, round(median(magnitude), 6) AS median, count(*) AS n FROM g",
     "time_slice": f"WITH {FIELD} SELECT cell_id, round(sla, 6) AS sla FROM field WHERE t = 0",
+    "netcdf_scan": f"WITH {FIELD} SELECT cell_id, t, latitude, longitude, round(sla, 6) AS sla FROM field WHERE t >= 12 AND lat_idx >= 1 AND sla IS NOT NULL",
     "field_union": f"WITH {FIELD} SELECT t, count(*) AS n, round(avg(sla), 6) AS mean FROM field GROUP BY 1",
     "haversine_pairs": f"""WITH cells AS (SELECT CAST(n_nationkey AS BIGINT) AS cell_id, -40.0 + 20.0 * (n_nationkey // 5) AS latitude, -180.0 + 72.0 * (n_nationkey % 5) AS longitude FROM nation)
 SELECT a.cell_id AS i, b.cell_id AS j, round({_km("a", "b")}, 4) AS d FROM cells a JOIN cells b ON a.cell_id < b.cell_id""",
