@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .masks import masked_labels, valid_cells
 
+#: Rows or columns that a grid may have where its axes are brought to the driver: 0.005 degrees round the globe.
+AXIS = 1 << 16
+
 
 def target_places(spark: SparkSession, step: int) -> DataFrame:
     """latitude, longitude of the whole-degree grid: -90 to 90 and -180 to below 180."""
@@ -45,6 +52,54 @@ def bilinear(field: DataFrame, step: int, lat0: float, lon0: float, resolution:
     return out.select("cell_id", F.col("to_lat").alias("lat_idx"), F.col("to_lon").alias("lon_idx"), "t", "latitude", "longitude", F.when(F.col("k") == F.col("n"), F.col("sla")).alias("sla"))
 
 
+def axis(places: DataFrame, coordinate: str, *index: str) -> pd.DataFrame:
+    """The distinct values of a coordinate, ascending, with their index if one is named; nulls are left out. More than AXIS raise."""
+    found = places.select(coordinate, *index).where(F.col(coordinate).isNotNull()).distinct().limit(AXIS + 1).toPandas()
+    if len(found) > AXIS:
+        raise ValueError(f"{coordinate} has more than {AXIS} values; it is no axis of a grid")
+    return found.sort_values(coordinate, ignore_index=True)
+
+
+def _corners(source: pd.DataFrame, targets: Sequence[float], coordinate: str, index: str, to: str) -> pd.DataFrame:
+    """For each target the one or two source indices around it and their weights; none outside the source."""
+    at, ids = source[coordinate].to_numpy(np.float64), source[index].to_numpy(np.int64)
+    if len(np.unique(at)) < len(at) or len(np.unique(ids)) < len(ids):
+        raise ValueError(f"{index} and {coordinate} don't name each other")
+    x = np.asarray(targets, np.float64)
+    inside = np.flatnonzero((x >= at[0]) & (x <= at[-1])) if len(at) else np.empty(0, np.int64)
+    low = np.searchsorted(at, x[inside], "right") - 1
+    on = at[low] == x[inside]
+    high = np.where(on, low, low + 1)
+    part = np.where(on, 0.0, (x[inside] - at[low]) / np.where(on, 1.0, at[high] - at[low]))
+    one = pd.DataFrame({to: inside, coordinate: x[inside], index: ids[low], "w": 1 - part, "k": np.where(on, 1, 2)})
+    two = pd.DataFrame({to: inside, coordinate: x[inside], index: ids[high], "w": part, "k": 2})[~on]
+    return pd.concat([one, two], ignore_index=True)
+
+
+def bilinear_onto(field: DataFrame, latitudes: Sequence[float], longitudes: Sequence[float]) -> DataFrame:
+    """The field at the places of two axes, in any order and with any steps, such as axis() gives of a clustering.
+
+    The field's own axes may have uneven steps too. A target takes the four cells around it, two or one where
+    it lies on a line of the grid; it has no rows outside the grid, and null where one of them has no value or no
+    row at a time. NaN targets have no rows. Indices count the targets as given. Rows of the field meet the few
+    indices around targets of their row and column, both bounded by AXIS, so the field moves only to be added up.
+    """
+    spark = field.sparkSession
+    if max(len(latitudes), len(longitudes)) > AXIS:
+        raise ValueError(f"an axis may have {AXIS} targets at most")
+    near = []
+    for coordinate, index, to, targets in (("latitude", "lat_idx", "to_lat", latitudes), ("longitude", "lon_idx", "to_lon", longitudes)):
+        found = _corners(axis(field, coordinate, index), targets, coordinate, index, to)
+        near.append(spark.createDataFrame(found, f"{to} int, {coordinate} double, {index} int, w_{index} double, k_{index} int"))
+    rows = field.select("lat_idx", "lon_idx", "t", "sla")
+    for found, index in zip(near, ("lat_idx", "lon_idx"), strict=True):
+        rows = rows.join(F.broadcast(found), index)
+    keys = ["to_lat", "to_lon", "latitude", "longitude", "t"]
+    sums = rows.groupBy(*keys).agg(F.sum(F.col("sla") * F.col("w_lat_idx") * F.col("w_lon_idx")).alias("sla"), F.count("sla").alias("n"), F.first(F.col("k_lat_idx") * F.col("k_lon_idx")).alias("k"))
+    cell = F.col("to_lat").cast("long") * len(longitudes) + F.col("to_lon")
+    return sums.select(cell.alias("cell_id"), F.col("to_lat").alias("lat_idx"), F.col("to_lon").alias("lon_idx"), "t", "latitude", "longitude", F.when(F.col("n") == F.col("k"), F.col("sla")).alias("sla"))
+
+
 def nearest_labels(labels: DataFrame, fine: DataFrame, lat0: float, lon0: float, resolution: float) -> DataFrame:
     """cell_id, cluster_id of fine cells (cell_id, latitude, longitude): the label of the nearest coarse place, halves down. labels: lat_idx, lon_idx, cluster_id."""
     near = lambda x, origin: F.ceil((F.col(x) - origin) / resolution - 0.5).cast("int")

@@ -270,6 +270,15 @@ def bilinear_coarsen(spark: SparkSession, d: str) -> DataFrame:
     return regrid.bilinear(masks.to_field(_cells(spark, d)), 5, LAT0, LON0, STEP).where("sla is not null").select("latitude", "longitude", "t", r6("sla").alias("sla"))
 
 
+@query
+def bilinear_onto_axes(spark: SparkSession, d: str) -> DataFrame:
+    """The embedding grid, with uneven steps, at the axes of the suppliers' places."""
+    uneven = masks.to_field(_cells(spark, d)).withColumns({"latitude": F.col("latitude") + 0.5 * (F.col("lat_idx") % 2), "longitude": F.lit(LON0) + F.col("lon_idx") * (F.col("lon_idx") + 24.0) / 24.0})
+    places = fields.lineitem_field(spark, d)
+    axes = [regrid.axis(places, c)[c].tolist() for c in ("latitude", "longitude")]
+    return regrid.bilinear_onto(uneven, *axes).where("sla is not null").select("latitude", "longitude", "t", r6("sla").alias("sla"))
+
+
 @query
 def nearest_regrid(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the embedding grid at the suppliers' places that have no gaps."""

@@ -167,6 +167,21 @@ SELECT w.cell_id, f.t, round(sum(w.w * f.sla), 6) AS sla FROM weights w JOIN fie
   SELECT *, count(*) OVER (PARTITION BY latitude, longitude) AS n FROM corners WHERE w > 0
 )
 SELECT latitude, longitude, CAST(t AS INTEGER) AS t, round(sum(w * sla), 6) AS sla FROM used JOIN vals USING (lat_idx, lon_idx) GROUP BY latitude, longitude, t, n HAVING count(sla) = n""",
+    "bilinear_onto_axes": f"""WITH {CELLS}, {VALUES}, {FIELD}, ys AS (
+  SELECT DISTINCT lat_idx AS i, -79.0 + 2.0 * lat_idx + 0.5 * (lat_idx % 2) AS y FROM cells
+), xs AS (
+  SELECT DISTINCT lon_idx AS j, -24.0 + lon_idx * (lon_idx + 24.0) / 24.0 AS x FROM cells
+), lats AS (
+  SELECT latitude, max(y) FILTER (y <= latitude) AS low, min(y) FILTER (y >= latitude) AS high FROM (SELECT DISTINCT latitude FROM field) CROSS JOIN ys GROUP BY 1
+), lons AS (
+  SELECT longitude, max(x) FILTER (x <= longitude) AS low, min(x) FILTER (x >= longitude) AS high FROM (SELECT DISTINCT longitude FROM field) CROSS JOIN xs GROUP BY 1
+), by_lat AS (
+  SELECT latitude, i AS lat_idx, CASE WHEN low = high THEN 1.0 WHEN y = low THEN 1 - (latitude - low) / (high - low) ELSE (latitude - low) / (high - low) END AS w, CASE WHEN low = high THEN 1 ELSE 2 END AS k FROM lats JOIN ys ON y IN (low, high) WHERE low IS NOT NULL AND high IS NOT NULL
+), by_lon AS (
+  SELECT longitude, j AS lon_idx, CASE WHEN low = high THEN 1.0 WHEN x = low THEN 1 - (longitude - low) / (high - low) ELSE (longitude - low) / (high - low) END AS w, CASE WHEN low = high THEN 1 ELSE 2 END AS k FROM lons JOIN xs ON x IN (low, high) WHERE low IS NOT NULL AND high IS NOT NULL
+)
+SELECT latitude, longitude, CAST(t AS INTEGER) AS t, round(sum(sla * a.w * b.w), 6) AS sla
+FROM by_lat a CROSS JOIN by_lon b JOIN vals USING (lat_idx, lon_idx) GROUP BY latitude, longitude, t, a.k, b.k HAVING count(sla) = a.k * b.k""",
     "nearest_regrid": f"""WITH {CELLS}, {FIELD}
 SELECT f.cell_id, c.cluster_id FROM whole f JOIN cells c ON c.lat_idx = CAST(ceil((f.latitude + 79.0) / 2.0 - 0.5) AS INTEGER) AND c.lon_idx = CAST(ceil((f.longitude + 24.0) / 2.0 - 0.5) AS INTEGER)""",
     "label_raster": f"WITH {CELLS} SELECT cell_id, lat_idx, lon_idx, CASE WHEN cluster_id % 2 = 0 THEN CAST(cluster_id AS DOUBLE) END AS cluster_id FROM cells",

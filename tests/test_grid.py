@@ -132,6 +132,44 @@ def test_regridding(spark):
     assert {r["cell_id"]: r["cluster_id"] for r in regrid.nearest_labels(labels, fine, 0.0, 0.0, 2.0).collect()} == {1: 5, 2: 6}
 
 
+def test_bilinear_onto_uneven_axes_equals_a_sum_over_corners(spark):
+    rng = np.random.default_rng(3)
+    y, x = np.array([40.0, 31.5, 10.0, -2.0, -30.0]), np.array([-20.0, -19.0, -7.0, 0.0, 30.0, 31.0])
+    values = rng.normal(size=(2, 5, 6))
+    values[0, 1, 2] = np.nan
+    rows = [(i, j, t, float(y[i]), float(x[j]), None if np.isnan(values[t, i, j]) else float(values[t, i, j])) for t in range(2) for i in range(5) for j in range(6) if (t, i, j) != (1, 4, 0)]
+    f = spark.createDataFrame(rows, "lat_idx int, lon_idx int, t int, latitude double, longitude double, sla double")
+    values[1, 4, 0] = np.nan
+    lats, lons = [35.0, -2.0, 41.0, float("nan"), -30.0, 0.0, 39.0], [30.5, -20.0, -8.0, 31.0, -21.0]
+
+    def around(axis, v):
+        order = np.argsort(axis)
+        for a, b in zip(order[:-1], order[1:], strict=True):
+            if axis[a] == v:
+                return [(a, 1.0)]
+            if axis[a] < v < axis[b]:
+                w = (v - axis[a]) / (axis[b] - axis[a])
+                return [(a, 1 - w), (b, w)]
+        return [(order[-1], 1.0)] if axis[order[-1]] == v else []
+
+    want = {}
+    for t in range(2):
+        for a, lat in enumerate(lats):
+            for b, lon in enumerate(lons):
+                corners = [(values[t, i, j], u * w) for i, u in around(y, lat) for j, w in around(x, lon)]
+                if corners:
+                    found = sum(v * w for v, w in corners)
+                    want[t, a, b] = None if np.isnan(found) else pytest.approx(found, abs=1e-12)
+    got = regrid.bilinear_onto(f, lats, lons).collect()
+    # a target whose only corner has no row at a time has none either
+    assert {(r.t, r.lat_idx, r.lon_idx): r.sla for r in got} == {k: v for k, v in want.items() if k != (1, 4, 1)}
+    assert all(r.cell_id == r.lat_idx * 5 + r.lon_idx and r.latitude == lats[r.lat_idx] and r.longitude == lons[r.lon_idx] for r in got)
+    assert regrid.bilinear_onto(f.limit(0), lats, lons).count() == 0
+    assert regrid.bilinear_onto(f, [], lons).count() == 0
+    with pytest.raises(ValueError, match="name each other"):
+        regrid.bilinear_onto(f.withColumn("latitude", F.lit(1.0)), lats, lons)
+
+
 def test_gradients_equal_numpy(spark):
     v = np.random.default_rng(1).normal(size=(5, 4, 6))
     f = field(spark, v.tolist())
