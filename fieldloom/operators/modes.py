@@ -63,7 +63,7 @@ def mode_maps(labelled: DataFrame, modes: DataFrame) -> DataFrame:
     """cell_id, cluster_id, mode, eof: the left singular vector's entry of each cell. labelled: cell_id, cluster_id, x."""
     vectors = modes.groupBy("cluster_id", "mode").agg(F.array_sort(F.collect_list(F.struct("t", "pc"))).alias("v")).select("cluster_id", "mode", F.transform("v", lambda p: p["pc"]).alias("v"))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    met = labelled.join(F.broadcast(vectors), "cluster_id")
+    met = labelled.join(vectors, "cluster_id")
     dot, square = total(F.zip_with("x", "v", lambda a, b: a * b)), total(F.transform("v", lambda a: a * a))
     return met.select("cell_id", "cluster_id", "mode", (dot / F.nullif(square, F.lit(0.0))).alias("eof"))
 
