@@ -162,6 +162,35 @@ def netcdf_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("cell_id", F.col("time").cast("int").alias("t"), "latitude", "longitude", r6("sla").alias("sla"))
 
 
+def _orders_by_quarter(spark: SparkSession, d: str) -> DataFrame:
+    when = F.col("o_orderdate")
+    return fields.table(spark, d, "orders").groupBy((F.year(when) + (F.quarter(when) - 1) / 4.0).cast("double").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _written(lines: DataFrame) -> str:
+    """A folder of text files, shared by all executors."""
+    folder = f"{shared_dir(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    return folder
+
+
+@query
+def climate_index_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a decimal year and a value, read back from 1993 on with their anomalies."""
+    folder = _written(_orders_by_quarter(spark, d).select(F.format_string("  %s   %s", F.col("year").cast("string"), F.col("n").cast("string"))))
+    found = fields.read_climate_index(spark, folder)
+    return found.select("decimal_year", F.unix_seconds("ts").alias("seconds"), "value", r6("anomaly").alias("anomaly"))
+
+
+@query
+def tide_gauge_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a tide gauge, odd counts marked as missing, a heading among them."""
+    value = F.when(F.col("n") % 2 == 0, F.col("n")).otherwise(F.lit(-99999))
+    lines = _orders_by_quarter(spark, d).select(F.format_string(" %s;%s;N;000", F.col("year").cast("string"), value.cast("string")).alias("line"))
+    heading = spark.range(1).select(F.lit("year;level;flag;mark").alias("line"))
+    return fields.read_tide_gauge(spark, _written(lines.unionByName(heading)), "orders")
+
+
 # --- pairs ------------------------------------------------------------------------------------------
 
 
@@ -420,7 +449,7 @@ def residual_to_axis_subspace(spark: SparkSession, d: str) -> DataFrame:
 def residual_expression(spark: SparkSession, d: str) -> DataFrame:
     """The same distances as a column expression, for the cluster that a cell is in."""
     cells = _cells(spark, d)
-    near = cells.select("cell_id", "cluster_id", "x").join(F.broadcast(_axis_subspaces(cells)), "cluster_id")
+    near = cells.select("cell_id", "cluster_id", "x").join(_axis_subspaces(cells), "cluster_id")
     return near.select("cell_id", "cluster_id", r6(residual(F.col("x"), F.col("mean"), F.col("basis"))).alias("d"))
 
 

@@ -33,6 +33,8 @@ YEARS = """years AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2
 )"""
 
+QUARTERS = "quarters AS (SELECT year(o_orderdate) + (quarter(o_orderdate) - 1) / 4.0 AS decimal_year, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1)"
+
 VALUES = "vals AS (SELECT cell_id, lat_idx, lon_idx, cluster_id, generate_subscripts(x, 1) - 1 AS t, unnest(x) AS sla FROM cells)"
 
 
@@ -118,6 +120,9 @@ ORACLE_SQL: dict[str, str] = {
     "gradient_magnitude": "GRADIENT SELECT cell_id, round(magnitude, 6) AS magnitude FROM g",
     "gradient_summary": "GRADIENT SELECT round(avg(magnitude), 6) AS mean, round(median(magnitude), 6) AS median, count(*) AS n FROM g",
     "time_slice": f"WITH {FIELD} SELECT cell_id, round(sla, 6) AS sla FROM field WHERE t = 0",
+    "climate_index_scan": f"""WITH {QUARTERS}, late AS (SELECT * FROM quarters WHERE decimal_year >= 1993)
+SELECT decimal_year, CAST(epoch(make_date(CAST(floor(decimal_year) AS INTEGER), 1, 1)) + (decimal_year - floor(decimal_year)) * 365.25 * 86400 AS BIGINT) AS seconds, n AS value, round(n - avg(n) OVER (), 6) AS anomaly FROM late""",
+    "tide_gauge_scan": f"WITH {QUARTERS} SELECT 'orders' AS station, decimal_year, CASE WHEN CAST(n AS BIGINT) % 2 = 0 THEN n END AS value FROM quarters",
     "netcdf_scan": f"WITH {FIELD} SELECT cell_id, t, latitude, longitude, round(sla, 6) AS sla FROM field WHERE t >= 12 AND lat_idx >= 1 AND sla IS NOT NULL",
     "field_union": f"WITH {FIELD} SELECT t, count(*) AS n, round(avg(sla), 6) AS mean FROM field GROUP BY 1",
     "haversine_pairs": f"""WITH cells AS (SELECT CAST(n_nationkey AS BIGINT) AS cell_id, -40.0 + 20.0 * (n_nationkey // 5) AS latitude, -180.0 + 72.0 * (n_nationkey % 5) AS longitude FROM nation)
