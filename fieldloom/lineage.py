@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,10 @@ def cut(frame: DataFrame) -> DataFrame:
     """A reliable checkpoint of the frame."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: for what loops hand on through joins, since a checkpoint keeps what is known of its columns (constraints), and planning slows down as that multiplies by renaming."""
+    path = f"{shared_dir(frame.sparkSession)}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
