@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, stored
 from .stencil import both_ways, undirected
 
 
@@ -28,7 +28,7 @@ def components(labels: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Da
         near = links.join(now.select(F.col("cell_id").alias("dst"), F.col("comp_id").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
         step = now.join(near.withColumnRenamed("src", "cell_id"), "cell_id", "left").select("cell_id", "cluster_id", F.col("comp_id").alias("was"), F.least("comp_id", "c").alias("c"))
         jump = step.select(F.col("cell_id").alias("c"), F.col("c").alias("further"))
-        after = cut(step.join(jump, "c").select("cell_id", "cluster_id", "was", F.least("c", "further").alias("comp_id")))
+        after = stored(step.join(jump, "c").select("cell_id", "cluster_id", "was", F.least("c", "further").alias("comp_id")))
         if after.where("comp_id <> was").limit(1).count() == 0:
             return after.select("cell_id", "cluster_id", "comp_id")
         now = after.select("cell_id", "cluster_id", "comp_id")

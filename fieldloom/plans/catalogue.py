@@ -18,7 +18,7 @@ from ..config import Refinement
 from ..functions import geo
 from ..functions.distances import residual
 from ..lineage import cut, shared_dir
-from ..operators import agglomeration, centroids, gradients, graph, lowrank, masks, modes, pairs, regrid, smoothing, stencil
+from ..operators import agglomeration, centroids, gradients, graph, lowrank, masks, modes, outlines, pairs, regrid, smoothing, stencil
 from ..sources import fields, netcdf, sinks
 from . import oracles, oracles_clusters, refine
 
@@ -371,6 +371,20 @@ def component_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return graph.component_adjacency(comps, edges)
 
 
+def _outlines(spark: SparkSession, d: str) -> DataFrame:
+    return outlines.outlines(_cells(spark, d).withColumn("cluster_id", F.col("cluster_id") % 2), COLUMNS)
+
+
+@query
+def outline_rings(spark: SparkSession, d: str) -> DataFrame:
+    return outlines.rings(_outlines(spark, d), COLUMNS)
+
+
+@query
+def outline_corners(spark: SparkSession, d: str) -> DataFrame:
+    return outlines.corners(_outlines(spark, d))
+
+
 @query
 def component_centres(spark: SparkSession, d: str) -> DataFrame:
     cells, _, comps = _components(spark, d)

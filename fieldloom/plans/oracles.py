@@ -100,6 +100,17 @@ def _reach(cells: str, places: str) -> str:
 PAIRS = "SELECT a.cell_id AS i, b.cell_id AS j, round({d}, 6) AS d FROM {t} a JOIN {t} b ON a.cell_id < b.cell_id"
 SPATIOTEMPORAL = f"1 - exp(-({_km('a', 'b')}) / (-3000 / ln(0.5))) * {_r('a', 'b')}"
 
+#: Sides of even and odd clusters that no neighbour shares, the side that follows each, and the ring that it is of.
+OUTLINES = f"""{CELLS}, places AS (SELECT cell_id, lat_idx AS i, lon_idx AS j, CAST(cluster_id % 2 AS INTEGER) AS cluster_id FROM cells WHERE cluster_id IS NOT NULL), sides AS MATERIALIZED (
+  SELECT p.cell_id * 4 + w.way AS side, p.cluster_id, w.way, p.i + w.bi AS i, (p.j + w.bj) % 25 AS j, p.i + w.ei AS to_i, (p.j + w.ej) % 25 AS to_j
+  FROM places p CROSS JOIN (VALUES (0, 0, 0, 0, 1, -1, 0), (1, 0, 1, 1, 1, 0, 1), (2, 1, 1, 1, 0, 1, 0), (3, 1, 0, 0, 0, 0, 24)) w(way, bi, bj, ei, ej, oi, oj)
+  WHERE NOT EXISTS (SELECT 1 FROM places o WHERE o.cluster_id = p.cluster_id AND o.i = p.i + w.oi AND o.j = (p.j + w.oj) % 25)
+), follow AS MATERIALIZED (
+  SELECT a.side, arg_min(b.side, (a.way - b.way + 5) % 4) AS next FROM sides a JOIN sides b ON b.cluster_id = a.cluster_id AND b.i = a.to_i AND b.j = a.to_j GROUP BY 1
+), walk(side, here) AS (
+  SELECT side, side FROM sides UNION SELECT w.side, f.next FROM walk w JOIN follow f ON f.side = w.here
+), ringed AS MATERIALIZED (SELECT side, min(here) AS ring_id FROM walk GROUP BY 1)"""
+
 ORACLE_SQL: dict[str, str] = {
     "valid_cells": f"WITH {FIELD} SELECT cell_id, lat_idx, lon_idx FROM whole",
     "any_valid_cells": f"WITH {EVENTS} SELECT cell_id, count(sla) AS n_values FROM field GROUP BY 1 HAVING count(sla) > 0",
@@ -196,6 +207,14 @@ SELECT f.cell_id, c.cluster_id FROM whole f JOIN cells c ON c.lat_idx = CAST(cei
     "smallest_component": f"WITH RECURSIVE {COMPONENTS} SELECT comp_id, cluster_id, count(*) AS size FROM comps GROUP BY 1, 2 ORDER BY 3, 1 LIMIT 1",
     "component_adjacency": f"""WITH RECURSIVE {COMPONENTS} SELECT DISTINCT least(a.comp_id, b.comp_id) AS src, greatest(a.comp_id, b.comp_id) AS dst
 FROM edges JOIN comps a ON a.cell_id = src JOIN comps b ON b.cell_id = dst WHERE a.comp_id <> b.comp_id""",
+    "outline_rings": f"""WITH RECURSIVE {OUTLINES}, r AS (
+  SELECT g.ring_id, s.cluster_id, count(*) AS n_sides, CAST(sum(CASE way WHEN 0 THEN -i WHEN 2 THEN i ELSE 0 END) AS BIGINT) AS area,
+    CAST(sum(CASE way WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) // 25 AS INTEGER) AS turns
+  FROM sides s JOIN ringed g ON g.side = s.side GROUP BY 1, 2
+) SELECT *, CASE WHEN turns <> 0 THEN 'round' WHEN area < 0 THEN 'hole' ELSE 'outer' END AS kind FROM r""",
+    "outline_corners": f"""WITH RECURSIVE {OUTLINES}, places_in(ring_id, here, pos) AS (
+  SELECT ring_id, ring_id, CAST(0 AS BIGINT) FROM ringed WHERE side = ring_id UNION ALL SELECT p.ring_id, f.next, p.pos + 1 FROM places_in p JOIN follow f ON f.side = p.here WHERE f.next <> p.ring_id
+) SELECT p.ring_id, s.cluster_id, p.pos, s.i, s.j FROM places_in p JOIN sides s ON s.side = p.here""",
     "component_centres": f"""WITH RECURSIVE {COMPONENTS}, m AS (
   SELECT comp_id, median(latitude) AS latitude, median(longitude) AS plain, median(CASE WHEN longitude < 0 THEN longitude + 360 ELSE longitude END) AS shifted,
     min(longitude) < -170 AND max(longitude) > 170 AS across FROM comps JOIN cells USING (cell_id) GROUP BY 1
