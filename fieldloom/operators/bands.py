@@ -29,10 +29,10 @@ class RowWeights:
         self.latitudes, self.step, self.n_lon, self.half_width, self.wrap, self.radius = latitudes, step, n_lon, half_width, wrap, radius
         self.box = box_degrees(half_width)
         # an open row is lengthened so that what leaves it at one end doesn't come in at the other
-        self.length = n_lon if wrap else n_lon + max((self.width(row) for row in latitudes), default=0)
+        self.length = n_lon if wrap else n_lon + max((self.width(row) for row in latitudes if self.width(row) > 0), default=0)
 
     def width(self, row: int) -> int:
-        """Columns to either side that a place of the row looks at."""
+        """Columns to either side that a place of the row looks at; below zero beyond a pole, where it sees none, itself included."""
         reach = int(np.floor(self.box * np.cos(np.radians(self.latitudes[row])) / self.step + 1e-9)) if self.step else 0
         return min(reach, (self.n_lon - 1) // 2 if self.wrap else self.n_lon - 1)
 

@@ -96,3 +96,20 @@ def test_transform_of_a_row_is_that_of_its_weights():
     km = 6371.0088 * 2 * math.asin(math.sqrt(math.sin(math.radians(0.5)) ** 2 + math.cos(math.radians(1)) * math.sin(math.radians(1)) ** 2))
     assert line[2] == pytest.approx(math.exp(-(km**2) / (2 * (200 / 1.178) ** 2)))
     assert line[2] == pytest.approx(line[-2])
+
+
+def test_rows_beyond_a_pole_reach_nothing(spark):
+    """As in SQL, where the box is narrower than nothing there; cells left of it keep their own places only."""
+    n_lat, n_lon = 30, 6
+    grid = places_of(spark, n_lat, n_lon, 2.0, 60.0)
+    cells = grid.select((F.col("lat_idx") * n_lon + F.col("lon_idx")).cast("long").alias("cell_id"), "lat_idx", "lon_idx", (F.col("lon_idx") % 2).alias("cluster_id"))
+    reach = in_reach(cells, radius_stencil(grid, 200.0, n_lon, False), grid, n_lon, False)
+    inside = [i for i in range(n_lat) if math.cos(math.radians(60.0 + 2 * i)) >= 0]
+    assert 0 < len(inside) < n_lat
+    assert {r["cell_id"] // n_lon for r in reach.select("cell_id").distinct().collect()} == set(inside)
+    smooth = smoothing.smooth_labels(cells, cells, grid, 200.0, n_lon)
+    assert smooth.count() == len(inside) * n_lon
+    # all rows beyond it: no sums, whatever the values
+    far = places_of(spark, 4, n_lon, 2.0, 100.0)
+    values = far.select("lat_idx", "lon_idx", F.lit(0).alias("t"), F.lit(1.0).alias("sla"))
+    assert bands.banded_sums(values, far, 200.0, n_lon, False).count() == 0
