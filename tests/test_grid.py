@@ -211,3 +211,22 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         sinks.cached(spark, str(tmp_path / "kept"), lambda: made.append(1) or f)
     assert made == [1]
+
+
+def test_cells_travel_a_bounded_number_of_times(spark):
+    """As often as there are blocks, whose number doesn't follow that of the cells up to the bound; pairs are whole over several batches and tiles."""
+    import re
+
+    n = 3000
+    rows = [(k, float(k % 90), float(k % 180), [float(k), 1.0]) for k in range(n)]
+    series = spark.createDataFrame(rows, "cell_id long, latitude double, longitude double, x array<double>")
+    found = pairs.all_pairs(series, "euclidean")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert {int(m) for m in re.findall(r"sequence\(0, (\d+)", plan)} == {pairs.BLOCKS - 1}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = found.selectExpr("count(*) as n", "count(distinct i, j) as k", "sum(d) as s", "min(j - i) as low", "max(abs(d - (j - i))) as off").first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["n"] == got["k"] == n * (n - 1) // 2
+    assert got["low"] == 1 and got["off"] < 1e-6
