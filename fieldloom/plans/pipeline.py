@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Run, seed_everything
 from ..functions.geo import cos_weighted, normalise_longitude
 from ..lineage import cut
-from ..operators import agglomeration, centroids, modes, stencil
+from ..operators import agglomeration, centroids, linkage, modes, stencil
 from ..operators.lowrank import fit
 from ..operators.masks import to_series
-from ..operators.pairs import all_pairs, edge_distances
+from ..operators.pairs import edge_distances
 from ..operators.reconnect import reconnect
 from ..operators.regrid import bilinear
 from ..operators.smoothing import spatial_then_temporal
@@ -54,7 +54,7 @@ def initial_labels(series: DataFrame, settings: Run, n_lon: int, wrap: bool = Tr
     """k, cell_id, cluster_id by the method and metric of the settings."""
     s, ks = settings.initial, list(settings.initial.n_clusters)
     if s.method == "agglomerative":
-        return agglomeration.upgma(all_pairs(series, s.metric), series, ks)
+        return linkage.upgma(series, s.metric, ks)
     edges = cut(stencil.neighbours(series, n_lon=n_lon if wrap and s.method != "ward_connected" else None, seam=wrap and s.method != "ward_connected"))
     if s.method == "agglomerative_connected":
         return agglomeration.constrained(edge_distances(edges, series, s.metric), series, ks)
