@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut, stored
-from .graph import components
+from ..lineage import stored
 
 #: From a corner: where sides begin and end, by direction (east, north, west, south), as row and column steps from a cell's own index.
 BEGINS = ((0, 0), (0, 1), (1, 1), (1, 0))
@@ -53,10 +52,16 @@ def followers(of: DataFrame) -> DataFrame:
 
 def outlines(cells: DataFrame, n_lon: int | None = None) -> DataFrame:
     """ring_id (its least side), cluster_id, side, way, i, j: all sides of all outlines."""
-    of = cut(sides(cells, n_lon))
-    links = followers(of).select(F.col("side").alias("src"), F.col("next").alias("dst"))
-    ringed = components(of.select(F.col("side").alias("cell_id"), "cluster_id"), links)
-    return of.join(ringed.select(F.col("cell_id").alias("side"), F.col("comp_id").alias("ring_id")), "side").select("ring_id", "cluster_id", "side", "way", "i", "j", "to_i", "to_j")
+    of = stored(sides(cells, n_lon))
+    now = stored(followers(of).select("side", "next", F.col("side").alias("ring_id")))
+    while True:
+        # the least of twice as many sides from each on; where no side sees a lesser one, all see their ring's least
+        ahead = now.select(F.col("side").alias("next"), F.col("next").alias("next_2"), F.col("ring_id").alias("least"))
+        met = now.join(ahead, "next").select("side", F.col("next_2").alias("next"), F.least("ring_id", "least").alias("ring_id"), (F.col("least") < F.col("ring_id")).alias("moved"))
+        now = stored(met)
+        if not now.where("moved").limit(1).count():
+            break
+    return of.join(now.select("side", "ring_id"), "side").select("ring_id", "cluster_id", "side", "way", "i", "j", "to_i", "to_j")
 
 
 def rings(outline: DataFrame, n_lon: int | None = None) -> DataFrame:

@@ -67,3 +67,17 @@ def test_hole_and_no_cells(spark):
     assert sorted((r["cluster_id"], r["kind"], r["area"], r["n_sides"]) for r in rows) == [(1, "hole", -2, 8), (1, "outer", 24, 20), (7, "outer", 1, 4), (7, "outer", 1, 4)]
     none = outlines.outlines(frame(spark, labels).limit(0))
     assert outlines.rings(none).count() == outlines.corners(none).count() == 0
+
+
+def test_rounds_of_a_long_ring(spark, monkeypatch):
+    """A comb of 30 teeth has one ring of 1,982 sides; rounds follow the logarithm of its length."""
+    from fieldloom.operators import graph
+
+    calls = []
+    for module in (outlines, graph):
+        monkeypatch.setattr(module, "stored", lambda frame, stored=module.stored: (calls.append(1), stored(frame))[1])
+    labels = np.full((32, 60), -1)
+    labels[:, ::2] = labels[0] = 0
+    rows = outlines.rings(outlines.outlines(frame(spark, labels))).collect()
+    assert [(r["n_sides"], r["area"], r["kind"]) for r in rows] == [(1982, 990, "outer")]
+    assert len(calls) <= 2 + 12
