@@ -89,32 +89,54 @@ _MERGE, _EDGE, _CLUSTER, _REPLAY = range(4)
 _ORDER = ["key_d", "key_a", "key_b", "key_n"]
 
 
-def _piece(until: float):  # noqa: ANN202
-    def work(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        piece = int(key[0])
-        state = Linkage(dict(zip(nodes["id"].tolist(), nodes["n"].tolist(), strict=True)), edges[["src", "dst", "d"]].itertuples(index=False))
-        outside = {i: {int(p) for p in others} for i, others in zip(nodes["id"].tolist(), nodes["others"], strict=True) if others is not None and len(others)}
-        steps = state.merged(until)
-        rows = []
-        for step, order in zip(steps, keyed(steps), strict=True):
-            rows.append((_MERGE, piece, None, *step, *order))
-            gone = outside.pop(step[2], set())
-            rows += [(_REPLAY, piece, other, *step, *order) for other in sorted(gone)]
-            if gone:
-                outside[step[1]] = outside.get(step[1], set()) | gone
-        rows += [(_EDGE, piece, None, d, a, b, *[None] * 6) for a, others in state.near.items() for b, d in others.items() if a < b]
-        rows += [(_CLUSTER, piece, None, None, i, None, n, *[None] * 5) for i, n in state.size.items()]
+def _piece(piece: int, nodes: list[tuple], edges: list[tuple], until: float) -> list[tuple]:
+    state = Linkage({i: n for i, n, _ in nodes}, edges)
+    outside = {i: {int(p) for p in others} for i, _, others in nodes if others is not None and len(others)}
+    steps = state.merged(until)
+    rows = []
+    for step, order in zip(steps, keyed(steps), strict=True):
+        rows.append((_MERGE, piece, None, *step, *order))
+        gone = outside.pop(step[2], set())
+        rows += [(_REPLAY, piece, other, *step, *order) for other in sorted(gone)]
+        if gone:
+            outside[step[1]] = outside.get(step[1], set()) | gone
+    rows += [(_EDGE, piece, None, d, a, b, *[None] * 6) for a, others in state.near.items() for b, d in others.items() if a < b]
+    rows += [(_CLUSTER, piece, None, None, i, None, n, *[None] * 5) for i, n in state.size.items()]
+    return rows
+
+
+def _by(frame: pd.DataFrame, keys: list[str], columns: list[str]) -> dict[tuple, list[tuple]]:
+    """The rows of each key."""
+    out: dict[tuple, list[tuple]] = {}
+    for key, row in zip(frame[keys].itertuples(index=False, name=None), frame[columns].itertuples(index=False, name=None), strict=True):
+        out.setdefault(key, []).append(row)
+    return out
+
+
+def _pieces(until: float):  # noqa: ANN202
+    """The work of a task: many pieces, one after the other."""
+
+    def work(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        within = _by(edges, ["piece"], ["src", "dst", "d"])
+        rows = [row for key, own in _by(nodes, ["piece"], ["id", "n", "others"]).items() for row in _piece(key[0], own, within.get(key, []), until)]
         return pd.DataFrame(rows, columns=_NAMES, dtype=object)
 
     return work
 
 
 def _between(edges: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-    """The edges between two pieces after the steps of both."""
-    state = Linkage(dict.fromkeys({*edges["src"].tolist(), *edges["dst"].tolist()}, 0), edges[["src", "dst", "d"]].itertuples(index=False))
-    for _, a, b, n_a, n_b in steps.sort_values(_ORDER)[["d", "a", "b", "n_a", "n_b"]].itertuples(index=False):
-        state.join(int(a), int(b), int(n_a), int(n_b))
-    return pd.DataFrame([(a, b, d) for a, others in state.near.items() for b, d in others.items() if a < b], columns=["src", "dst", "d"])
+    """The edges between each two pieces after the steps of both. Many pairs of pieces at a time."""
+    pair, rows = ["one", "two"], []
+    taken = _by(steps.sort_values(_ORDER), pair, ["a", "b", "n_a", "n_b"])
+    for key, own in _by(edges, pair, ["src", "dst", "d"]).items():
+        if key not in taken:
+            rows += own
+            continue
+        state = Linkage(dict.fromkeys({i for a, b, _ in own for i in (a, b)}, 0), own)
+        for a, b, n_a, n_b in taken[key]:
+            state.join(int(a), int(b), int(n_a), int(n_b))
+        rows += [(a, b, d) for a, others in state.near.items() for b, d in others.items() if a < b]
+    return pd.DataFrame(rows, columns=["src", "dst", "d"])
 
 
 def _split(nodes: DataFrame, edges: DataFrame, piece: int) -> tuple[DataFrame, float]:
@@ -131,6 +153,9 @@ def _split(nodes: DataFrame, edges: DataFrame, piece: int) -> tuple[DataFrame, f
 def _round(nodes: DataFrame, edges: DataFrame, piece: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clusters (id, n), edges (src, dst, d) and merges after the pieces have merged."""
     comps, height = _split(nodes, edges, piece)
+    # pieces are many and small: a group takes all that share a bucket, since each group costs some milliseconds
+    buckets = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() // piece)
+    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).alias("bucket")
     end = lambda k, name: comps.select(F.col("cell_id").alias(k), F.col("comp_id").alias(name))
     placed = cut(edges.join(end("src", "p"), "src").join(end("dst", "q"), "dst"))
     across = placed.where("p <> q")
@@ -138,11 +163,11 @@ def _round(nodes: DataFrame, edges: DataFrame, piece: int) -> tuple[DataFrame, D
     outside = outside.groupBy("id").agg(F.collect_set("other").alias("others"))
     rows = nodes.join(end("id", "piece"), "id").join(outside, "id", "left")
     within = placed.where("p = q").select(F.col("p").alias("piece"), "src", "dst", "d")
-    found = cut(rows.groupBy("piece").cogroup(within.groupBy("piece")).applyInPandas(_piece(height), _FOUND))
+    found = cut(rows.withColumn("bucket", bucket("piece")).groupBy("bucket").cogroup(within.withColumn("bucket", bucket("piece")).groupBy("bucket")).applyInPandas(_pieces(height), _FOUND))
     pair = [F.least("p", "q").alias("one"), F.greatest("p", "q").alias("two")]
     steps = found.where(F.col("kind") == _REPLAY).withColumnsRenamed({"piece": "p", "other": "q"}).select(*pair, "d", "a", "b", "n_a", "n_b", *_ORDER)
     cross = across.select(*pair, "src", "dst", "d")
-    cross = cross.groupBy("one", "two").cogroup(steps.groupBy("one", "two")).applyInPandas(_between, "src long, dst long, d double")
+    cross = cross.withColumn("bucket", bucket("one", "two")).groupBy("bucket").cogroup(steps.withColumn("bucket", bucket("one", "two")).groupBy("bucket")).applyInPandas(_between, "src long, dst long, d double")
     inside = found.where(F.col("kind") == _EDGE).select(F.col("a").alias("src"), F.col("b").alias("dst"), "d")
     return found.where(F.col("kind") == _CLUSTER).select(F.col("a").alias("id"), F.col("n_a").alias("n")), cut(inside.unionByName(cross)), found.where(F.col("kind") == _MERGE).select("d", "a", "b", *_ORDER)
 

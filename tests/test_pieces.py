@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from fieldloom.operators import agglomeration, pieces
@@ -38,6 +39,18 @@ def test_pieces_equal_one_task(spark, seed, values, kernel):
     assert [(r["d"], r["a"], r["b"]) for r in found.orderBy("key_d", "key_a", "key_b", "key_n").collect()] == agglomeration.constrained_merges(dict.fromkeys(cells, 1), edges)
 
 
+def test_a_task_takes_many_pieces():
+    """Pairs of pieces that share a group stay apart: steps of one don't touch the edges of another."""
+    edges = pd.DataFrame([(1, 2, 1, 5, 1.0), (1, 2, 2, 5, 3.0), (1, 3, 2, 7, 4.0)], columns=["one", "two", "src", "dst", "d"])
+    steps = pd.DataFrame([(1, 2, 0.5, 1, 2, 1, 1, 0.5, 1, 2, 0)], columns=["one", "two", "d", "a", "b", "n_a", "n_b", "key_d", "key_a", "key_b", "key_n"])
+    assert set(pieces._between(edges, steps).itertuples(index=False, name=None)) == {(1, 5, 2.0), (2, 7, 4.0)}
+    nodes = pd.DataFrame([(1, 1, 1, None), (1, 2, 1, [3]), (3, 7, 1, [1]), (3, 8, 1, None)], columns=["piece", "id", "n", "others"])
+    within = pd.DataFrame([(1, 1, 2, 0.5), (3, 7, 8, 0.25)], columns=["piece", "src", "dst", "d"])
+    found = pieces._pieces(1.0)(nodes, within)
+    assert {(r.piece, r.a, r.b, r.key_n) for r in found[found["kind"] == pieces._MERGE].itertuples()} == {(1, 1, 2, 0), (3, 7, 8, 0)}
+    assert {(r.piece, r.other) for r in found[found["kind"] == pieces._REPLAY].itertuples()} == {(1, 3)}
+
+
 @pytest.mark.parametrize("most", [1, 1000])
 def test_labels_of_a_tree(spark, most):
     """By pointers and in one task: those of the merges in order."""
