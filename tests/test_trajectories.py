@@ -5,7 +5,7 @@ import pytest
 
 from fieldloom.config import STRATEGIES
 from fieldloom.lineage import cut
-from fieldloom.operators import lowrank, stencil
+from fieldloom.operators import lowrank, smoothing, stencil
 from fieldloom.operators.reconnect import merge_small
 from fieldloom.operators.smoothing import smooth_labels
 from fieldloom.plans import refine
@@ -163,6 +163,26 @@ def test_blocks_stay_where_they_are(spark):
     assert outside.count("Exchange hashpartitioning") == 1
 
 
+def test_labels_alone_move_in_rounds_of_smoothing_and_merging(spark, monkeypatch):
+    """As the boundary round: one exchange, of labels; states are those of a pass over labelled series."""
+    monkeypatch.setattr(lowrank, "BLOCK", 11)
+    x, labels = start(3)
+    grid = grid_of(spark, x)
+    given = spark.createDataFrame([(k, int(c)) for k, c in enumerate(labels)], "cell_id long, cluster_id int")
+    held, blocks = lowrank.blocked(grid.series, reach=smoothing.label_reach(grid.series, grid.places, 60.0, COLUMNS))
+    now = cut(given.join(held.select("cell_id", "to"), "cell_id"))
+    smooth = lowrank.smooth_round(held, now)
+    same = lowrank.labelled_states(held, now, blocks)
+    plans = [f._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0] for f in (smooth, same)]
+    want = {(r["cell_id"], r["cluster_id"]) for r in smooth_labels(given, grid.series, grid.places, 60.0, COLUMNS).collect()}
+    assert {(r["cell_id"], r["cluster_id"]) for r in smooth.where("cell_id is not null").collect()} == want
+    got, plain = (lowrank.Subspaces.of_states(f, 1) for f in (same, lowrank.states(grid.series.join(given, "cell_id").select("cell_id", "x", "cluster_id"))))
+    held.unpersist()
+    assert plans[0].count("Exchange hashpartitioning(at") == 1 and plans[0].count("Exchange") == 1
+    assert plans[1].count("Exchange hashpartitioning(at") == 1
+    assert got[0].cost == pytest.approx(plain[0].cost) and got[2] == plain[2]
+
+
 def test_states_of_few_cells_hold_series(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 12))
