@@ -60,6 +60,15 @@ def _ones(words: list[bytes], k: int, seed: int) -> np.ndarray:
     return out
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of 64-bit hashes, signed."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<i8", copy=False).view(np.uint8), bitorder="little").reshape(-1, 64)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def keys() -> list[Column]:
     """Two digests of a row's id and text, never null: together they tell rows apart."""
     return [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check")]
@@ -103,14 +112,20 @@ def _syndrome(bits: Column) -> Column:
     return out.cast("int")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints fp (signed) that differ in at most THRESHOLD bits. A pair may come more than once."""
+def links(prints: DataFrame, sparing: bool = False) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints fp (signed) that differ in at most THRESHOLD bits. A pair may come more than once.
+
+    sparing: a table of bits keeps most replicas at anchors that are nobody's home, which make no pair, from moving.
+    """
     spark = prints.sparkSession
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
     halves = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("half"), x.alias("bits")) for i, x in enumerate((low, high))])).alias("x")).select("fp", "x.half", "x.bits")
     halves = halves.withColumn("syndrome", _syndrome(F.col("bits")))
     replicas = halves.join(F.broadcast(patterns(spark)), ["half", "syndrome"]).select((F.col("bits").bitwiseXOR(F.col("error")) + F.shiftleft(F.col("half").cast("long"), 32)).alias("anchor"), "fp", "home")
     homes = replicas.where("home").select("anchor", F.col("fp").alias("other"))
+    if sparing:
+        keyed = replicas.withColumn("key", F.xxhash64("anchor"))
+        replicas = keyed.where(may_be_among(keyed.where("home").select("key")))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD
     found = replicas.select("anchor", "fp").join(homes, "anchor").where(close & (F.col("fp") < F.col("other")))
     return found.select(F.col("fp").alias("a"), F.col("other").alias("b"))
