@@ -24,7 +24,7 @@ from .common import columns_of, cut, n_words, reused
 
 #: The rank is an integer of RANK_BITS bits; each histogram takes STEP_BITS of them. A further copy of a document ranks 2^UNIT_BITS later.
 RANK_BITS, STEP_BITS, UNIT_BITS = 50, 10, 51
-#: Up to so many sources (of a long, a double and a few more each) are broadcast; beyond, they are joined by a shuffle.
+#: Up to so many sources (of a long, a double and a few more each) are broadcast; beyond, they are joined by a shuffle and held as checkpoints.
 BROADCAST_SOURCES = 1000
 
 _PLACE = "struct<rank:bigint,tie:bigint,row:bigint>"
@@ -57,9 +57,14 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), ceiling: f
     ceiling times its source, the excess reshared until none is. One round for each time that further
     sources reach their ceiling; only sums come to the driver."""
     spark = sources.sparkSession
-    ordered = sources.select("key", "source_size").orderBy("key").rdd.zipWithIndex()
     cycle = [float(w) for w in weights]
-    ranked = cut(spark.createDataFrame(ordered.map(lambda x: (x[0][0], x[0][1], cycle[x[1] % len(cycle)])), "key string, source_size long, weight double"))
+    sources = sources.select("key", "source_size")
+    if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        turn = F.pmod(F.row_number().over(Window.orderBy("key")) - 1, F.lit(len(cycle)))
+        ranked = _held(sources.withColumn("weight", F.get(F.array(*[F.lit(w) for w in cycle]), turn)), 0)
+    else:
+        ordered = sources.orderBy("key").rdd.zipWithIndex()
+        ranked = cut(spark.createDataFrame(ordered.map(lambda x: (x[0][0], x[0][1], cycle[x[1] % len(cycle)])), "key string, source_size long, weight double"))
     total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
     most = F.col("source_size") * ceiling
     level, before = 0.0, -1
@@ -90,6 +95,11 @@ def _small(frame: DataFrame, n_sources: int) -> DataFrame:
     return F.broadcast(frame) if n_sources <= BROADCAST_SOURCES else frame
 
 
+def _held(frame: DataFrame, n_sources: int) -> DataFrame:
+    """A table of a row a source, computed: by the driver, which broadcasts it, as long as _small() does; as a checkpoint beyond."""
+    return frame.sparkSession.createDataFrame(frame.toArrow(), frame.schema) if n_sources <= BROADCAST_SOURCES else cut(frame)
+
+
 def _with_sources(rows: DataFrame, sources: DataFrame, n_sources: int, power: float) -> DataFrame:
     return rows.join(_small(sources, n_sources), "key").withColumn("rank", _rank(power)).withColumn("certain", _appeal(power) >= 1)
 
@@ -129,7 +139,7 @@ def _ends(ranked: DataFrame, open_: DataFrame, n_sources: int) -> DataFrame:
         bins = bins.withColumn("sum", F.sum("words").over(up_to)).where("sum - words <= left")
         # a few thousand rows a source at most: the bucket in which its words run out
         last = bins.groupBy("key").agg(F.max_by(F.struct("bucket", (F.col("left") - F.col("sum") + F.col("words")).alias("left")), "bucket").alias("x"))
-        found = cut(last.select("key", F.shiftleft("x.bucket", shift).alias("start"), F.col("x.left").alias("left")))
+        found = _held(last.select("key", F.shiftleft("x.bucket", shift).alias("start"), F.col("x.left").alias("left")), n_sources)
     here = found.select("key", F.shiftright("start", shift).alias("bucket"), "left")
     few = ranked.withColumn("bucket", F.shiftright("rank", shift)).join(_small(here, n_sources), ["key", "bucket"])
     ties = few.groupBy("key", "rank", "tie").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("row").alias("row"), F.max("left").alias("left"))
@@ -139,13 +149,13 @@ def _ends(ranked: DataFrame, open_: DataFrame, n_sources: int) -> DataFrame:
     last = ties.groupBy("key").agg(F.max(F.struct("rank", "tie", "row", "fit", "n", "size", "before", "left")).alias("x")).select("key", "x.*")
     # nothing of the last bucket fits: the order ends before it
     whole = found.join(last.select("key", "rank", "tie", "row", "fit", "n", (F.col("left") - F.col("before") - F.col("fit") * F.col("size")).alias("gap")), "key", "left")
-    whole = cut(whole.select("key", F.coalesce("rank", F.col("start") - 1).alias("rank"), F.coalesce("tie", F.lit(2**63 - 1)).alias("tie"), F.coalesce("row", F.lit(2**63 - 1)).alias("row"), F.coalesce("gap", "left").alias("gap"), (F.col("fit") < F.col("n")).alias("split"), "fit"))
+    whole = _held(whole.select("key", F.coalesce("rank", F.col("start") - 1).alias("rank"), F.coalesce("tie", F.lit(2**63 - 1)).alias("tie"), F.coalesce("row", F.lit(2**63 - 1)).alias("row"), F.coalesce("gap", "left").alias("gap"), (F.col("fit") < F.col("n")).alias("split"), "fit"), n_sources)
     split = whole.where("split").select("key", "rank", "tie", "fit")
     if split.limit(1).count():  # repeats of one row, of which only the first fit: by the parts that they stand in, then inside one part
         rows = ranked.join(_small(split, n_sources), ["key", "rank", "tie"]).withColumn("part", F.shiftright("row", 33))
         parts = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.max("fit").alias("fit"))
         parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-        one = cut(parts.where("before < fit and fit <= before + n").select("key", "part", (F.col("fit") - F.col("before")).alias("wanted")))
+        one = _held(parts.where("before < fit and fit <= before + n").select("key", "part", (F.col("fit") - F.col("before")).alias("wanted")), n_sources)
         inside = rows.join(_small(one, n_sources), ["key", "part"]).withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("row"))).where("number = wanted")
         whole = whole.join(inside.select("key", F.col("row").alias("at")), "key", "left").withColumn("row", F.coalesce("at", "row"))
     return whole.select("key", F.struct("rank", "tie", "row").alias("last"), "gap")
@@ -153,16 +163,17 @@ def _ends(ranked: DataFrame, open_: DataFrame, n_sources: int) -> DataFrame:
 
 def plan(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), ceiling: float = 3.0, power: float = 0.5) -> tuple[DataFrame, int]:
     """Per source: key, source_size, target, whole (copies that all documents get), rest (words to sample), scale, cuts (stretches of the order that are taken, each up to a size); and the number of sources."""
-    sums = cut(measured.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n_full")))
+    sums = reused(measured.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n_full")))
     n_sources = sums.count()
+    sums = _held(sums, n_sources)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = targets(sums, weights, ceiling).withColumn("whole", F.floor(share + 1e-9).cast("long"))
     goal = goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     goal = goal.withColumn("rest", F.when(F.col("rest") < 1, 0.0).otherwise(F.col("rest"))).join(sums.select("key", "n_full"), "key").select("key", "source_size", "n_full", "target", "whole", "rest")
     units = F.greatest(F.lit(1).cast("long"), F.lit(int(ceiling)).cast("long") - F.col("whole"))
-    goal = cut(_scaled(measured, cut(goal), power).withColumn("units", units))
+    goal = _held(_scaled(measured, _held(goal, n_sources), power).withColumn("units", units), n_sources)
     start = F.struct(F.lit(-1).cast("long").alias("rank"), F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("row"))
-    state = cut(goal.select("key", F.col("left").alias("gap"), "near", start.alias("after"), F.array().cast(_CUTS).alias("cuts")))
+    state = _held(goal.select("key", F.col("left").alias("gap"), "near", start.alias("after"), F.array().cast(_CUTS).alias("cuts")), n_sources)
     ranked = _with_sources(measured, goal, n_sources, power).where("rank is not null").select("key", "size", "rank", "tie", "row", "certain", "units")
     first = True
     while True:
@@ -170,12 +181,12 @@ def plan(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), ceiling: flo
         rows = ranked.withColumn("unit", F.lit(0).cast("long")) if first else ranked.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)))
         rows = rows.where("unit > 0 or not certain").withColumn("rank", F.col("rank") + F.col("unit") * 2**UNIT_BITS)
         rows = rows.join(_small(active, n_sources), "key").where((F.col("size") <= F.col("left")) & (F.struct("rank", "tie", "row") > F.col("after")))
-        ends = cut(_ends(rows.select("key", "size", "rank", "tie", "row"), active.select("key", "left"), n_sources).withColumnRenamed("gap", "missing"))
+        ends = _held(_ends(rows.select("key", "size", "rank", "tie", "row"), active.select("key", "left"), n_sources).withColumnRenamed("gap", "missing"), n_sources)
         if not ends.limit(1).count():
             break
         more = F.array(F.struct("after", "last", F.col("gap").alias("most")))
         state = state.join(ends, "key", "left").select("key", F.coalesce("missing", "gap").alias("gap"), "near", F.coalesce("last", "after").alias("after"), F.when(F.col("last").isNull(), F.col("cuts")).otherwise(F.concat("cuts", more)).alias("cuts"))
-        state, first = cut(state), False
+        state, first = _held(state, n_sources), False
     # where nothing fits any more but much is missing: the smallest that brings the sum nearer
     short = state.where("gap > near").select("key", "gap", "cuts")
     if short.limit(1).count():
@@ -183,7 +194,7 @@ def plan(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), ceiling: flo
         rows = rows.withColumn("at", F.struct((F.col("rank") + F.col("unit") * 2**UNIT_BITS).alias("rank"), "tie", "row")).where((F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) & ~_taken(F.col("at")))
         one = rows.groupBy("key").agg(F.min(F.struct("size", "at")).alias("x")).select("key", F.struct(F.struct("x.at.rank", "x.at.tie", (F.col("x.at.row") - 1).alias("row")).alias("after"), F.col("x.at").alias("last"), F.col("x.size").cast("double").alias("most")).alias("one"))
         state = state.join(one, "key", "left").withColumn("cuts", F.when(F.col("one").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array("one"))))
-    return cut(goal.join(state.select("key", "cuts"), "key")), n_sources
+    return _held(goal.join(state.select("key", "cuts"), "key"), n_sources), n_sources
 
 
 def _taken(at: Column) -> Column:

@@ -126,6 +126,18 @@ def test_mix_equals_brute_force(spark, case):
     assert max(c for _, c in found) <= 3
 
 
+def test_tables_of_few_sources_make_no_checkpoints(spark, monkeypatch):
+    """Each one costs the driver files and plans; a table of sizes is the only one that may be long."""
+    held, whole = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda frame: held.append(frame.columns) or whole(frame))
+    docs = documents(spark, [words(random.Random(i), 3 + i % 9) for i in range(60)])
+    few = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    assert held == [["key", "size", "n"]]
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == few
+    assert len(held) > 5
+
+
 def test_mix_of_odd_documents(spark):
     docs = documents(spark, odd_texts(), extra=True)
     rows = mixing.mix(docs).collect()
