@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Up to so many edges (4 MB) go to one task; more go in rounds.
+TASK_EDGES = 1 << 18
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from every node to the least node of its component within these edges."""
@@ -46,10 +49,22 @@ def local_forests(edges: DataFrame) -> DataFrame:
     return edges.mapInPandas(shrink, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """As local_forests(), of all edges together."""
+
+    def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = [x.to_numpy(np.int64) for x in frames]
+        a, b = forest(*np.concatenate(whole).T) if whole else np.empty((2, 0), np.int64)
+        yield pd.DataFrame({"a": a, "b": b})
+
+    return edges.select("a", "b").coalesce(1).mapInPandas(shrink, "a long, b long")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, most: int = TASK_EDGES) -> DataFrame:
     """(node, root) of every node that has an edge; root is the component's least node.
 
-    edges: a, b (long), in any direction, repeats and loops allowed. Every round hangs the larger
+    edges: a, b (long), in any direction, repeats and loops allowed. Up to `most` edges end in one task, since
+    a round is a dozen jobs, whose plans and threads the driver holds. Of more, every round hangs the larger
     neighbours of a node onto its least neighbour (large star), then the smaller ones (small star).
     The least neighbour comes from a partially aggregated groupBy and is cut before it is joined, so
     that both sides of the join are plain exchanges, whose skewed partitions Spark can split.
@@ -62,6 +77,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = mark(now)
     if not seen[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if seen[0] <= most:
+        return cut(_in_one_task(now)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))

@@ -59,7 +59,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), ceiling: f
     spark = sources.sparkSession
     cycle = [float(w) for w in weights]
     sources = sources.select("key", "source_size")
-    if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if len(sources.take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
         turn = F.pmod(F.row_number().over(Window.orderBy("key")) - 1, F.lit(len(cycle)))
         ranked = _held(sources.withColumn("weight", F.get(F.array(*[F.lit(w) for w in cycle]), turn)), 0)
     else:
@@ -151,7 +151,7 @@ def _ends(ranked: DataFrame, open_: DataFrame, n_sources: int) -> DataFrame:
     whole = found.join(last.select("key", "rank", "tie", "row", "fit", "n", (F.col("left") - F.col("before") - F.col("fit") * F.col("size")).alias("gap")), "key", "left")
     whole = _held(whole.select("key", F.coalesce("rank", F.col("start") - 1).alias("rank"), F.coalesce("tie", F.lit(2**63 - 1)).alias("tie"), F.coalesce("row", F.lit(2**63 - 1)).alias("row"), F.coalesce("gap", "left").alias("gap"), (F.col("fit") < F.col("n")).alias("split"), "fit"), n_sources)
     split = whole.where("split").select("key", "rank", "tie", "fit")
-    if split.limit(1).count():  # repeats of one row, of which only the first fit: by the parts that they stand in, then inside one part
+    if not split.isEmpty():  # repeats of one row, of which only the first fit: by the parts that they stand in, then inside one part
         rows = ranked.join(_small(split, n_sources), ["key", "rank", "tie"]).withColumn("part", F.shiftright("row", 33))
         parts = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.max("fit").alias("fit"))
         parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
@@ -182,14 +182,14 @@ def plan(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), ceiling: flo
         rows = rows.where("unit > 0 or not certain").withColumn("rank", F.col("rank") + F.col("unit") * 2**UNIT_BITS)
         rows = rows.join(_small(active, n_sources), "key").where((F.col("size") <= F.col("left")) & (F.struct("rank", "tie", "row") > F.col("after")))
         ends = _held(_ends(rows.select("key", "size", "rank", "tie", "row"), active.select("key", "left"), n_sources).withColumnRenamed("gap", "missing"), n_sources)
-        if not ends.limit(1).count():
+        if ends.isEmpty():
             break
         more = F.array(F.struct("after", "last", F.col("gap").alias("most")))
         state = state.join(ends, "key", "left").select("key", F.coalesce("missing", "gap").alias("gap"), "near", F.coalesce("last", "after").alias("after"), F.when(F.col("last").isNull(), F.col("cuts")).otherwise(F.concat("cuts", more)).alias("cuts"))
         state, first = _held(state, n_sources), False
     # where nothing fits any more but much is missing: the smallest that brings the sum nearer
     short = state.where("gap > near").select("key", "gap", "cuts")
-    if short.limit(1).count():
+    if not short.isEmpty():
         rows = ranked.join(_small(short, n_sources), "key").withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1))).where("unit > 0 or not certain")
         rows = rows.withColumn("at", F.struct((F.col("rank") + F.col("unit") * 2**UNIT_BITS).alias("rank"), "tie", "row")).where((F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) & ~_taken(F.col("at")))
         one = rows.groupBy("key").agg(F.min(F.struct("size", "at")).alias("x")).select("key", F.struct(F.struct("x.at.rank", "x.at.tie", (F.col("x.at.row") - 1).alias("row")).alias("after"), F.col("x.at").alias("last"), F.col("x.size").cast("double").alias("most")).alias("one"))

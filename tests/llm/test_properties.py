@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fieldloom.llm import chat, packing, pii, substrings
+from fieldloom.llm import components as graph_components
 from fieldloom.llm.components import forest
 from fieldloom.llm.parsing import Parse, Rolling, anchors, parse_ranks, sliding_min, suffix_ranks
 from fieldloom.llm.trigrams import compile_query
@@ -124,3 +125,17 @@ def test_patterns_of_any_span_are_among_the_places(text, stretch):
     spans = pii.base_spans(text)
     for a, b in sorted([(a, b) for _, a, b in spans] + pii.identifiers(text, spans)):
         assert set(around.patterns(a, b)) <= every
+
+
+def test_few_edges_end_in_one_task_and_rounds_agree(spark):
+    rng = np.random.default_rng(5)
+    links = [(i, i + 1) for i in range(100, 160)] + [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))]
+    edges = spark.createDataFrame(links, "a long, b long").repartition(4)
+    found, jobs = [], []
+    for most in (graph_components.TASK_EDGES, 0):
+        spark.sparkContext.setJobGroup(f"components-{most}", "")
+        found.append({(r["node"], r["root"]) for r in graph_components.components(edges, most=most).collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}")))
+    spark.sparkContext.setJobGroup("others", "")
+    assert found[0] == found[1] and (160, 100) in found[0]
+    assert jobs[0] <= 8 < jobs[1]
