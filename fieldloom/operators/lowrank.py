@@ -13,7 +13,7 @@ neighbouring cells, which are all that moves between blocks of cells (boundary_r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import xor
 
@@ -286,16 +286,21 @@ def assign(series: DataFrame, subspaces: Subspaces) -> DataFrame:
     return series.select("cell_id", "x").mapInPandas(run, "cell_id long, cluster_id int, d double")
 
 
-def _boundary(x: np.ndarray, labels: np.ndarray, near: list, subspaces: Subspaces) -> tuple[np.ndarray, np.ndarray]:
-    """(new label, its squared distance) of each row. near: labels of neighbours, or None; labels all have a subspace."""
-    place = {int(c): k for k, c in enumerate(subspaces.ids)}
+def _flat(lists: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list of arrays (or None), with the row that each comes from."""
+    held = [(r, x) for r, x in enumerate(lists) if x is not None and len(x)]
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.repeat([r for r, _ in held], [len(x) for _, x in held]), np.concatenate([x for _, x in held]).astype(np.int64)
+
+
+def _boundary(x: np.ndarray, labels: np.ndarray, at: np.ndarray, others: np.ndarray, subspaces: Subspaces) -> tuple[np.ndarray, np.ndarray]:
+    """(new label, its squared distance) of each row. others: labels of neighbours of the rows at; labels all have a subspace."""
     d = subspaces.distances(x)
     open_ = np.zeros(d.shape, bool)
-    own = np.array([place[c] for c in labels.tolist()], np.int64)
-    for r, others in enumerate(near):
-        if others is not None:
-            open_[r, [place[c] for c in others if c in place]] = True
-    at = np.arange(len(d))
+    known = np.isin(others, subspaces.ids)
+    open_[at[known], np.searchsorted(subspaces.ids, others[known])] = True
+    own, at = np.searchsorted(subspaces.ids, labels), np.arange(len(d))
     open_[at, own] = False
     there = np.where(open_, d, np.inf)
     best = there.argmin(axis=1)
@@ -315,7 +320,7 @@ def move_boundary(labelled: DataFrame, subspaces: Subspaces) -> DataFrame:
             f = f[f["cluster_id"].isin(subspaces.ids)]
             if len(f):
                 was = f["cluster_id"].to_numpy().astype(np.int64)
-                labels, d = _boundary(np.stack(f["x"].to_numpy()).astype(np.float64), was, list(f["clusters"]), subspaces)
+                labels, d = _boundary(np.stack(f["x"].to_numpy()).astype(np.float64), was, *_flat(f["clusters"]), subspaces)
                 yield pd.DataFrame({"cell_id": f["cell_id"], "cluster_id": labels.astype(np.int32), "was": was.astype(np.int32), "d": d})
 
     return labelled.select("cell_id", "cluster_id", "x", "clusters").mapInPandas(run, "cell_id long, cluster_id int, was int, d double")
@@ -353,6 +358,13 @@ def blocked(series: DataFrame, edges: DataFrame | None = None, reach: DataFrame
 _ROUND = f"cell_id long, to array<int>, {_STATE}"
 
 
+def _round_rows(cells: np.ndarray, to: pd.Series, fresh: np.ndarray, found: list[tuple]) -> pd.DataFrame:
+    """Rows of _ROUND: one for each cell, then the states found. Whole columns at a time, since a Python object for each value took most of a round."""
+    moved = pd.DataFrame({"cell_id": pd.array(cells, "Int64"), "to": to.to_numpy(), "cluster_id": pd.array(fresh, "Int64"), "s": None, "g": None})
+    states = pd.DataFrame(found, columns=_COLUMNS).astype({"cluster_id": "Int64", "part": "Int64", "n": "Int64", "mark": "Int64"}).assign(to=None)
+    return pd.concat([moved, states], ignore_index=True)[["cell_id", "to", *_COLUMNS]]
+
+
 def boundary_round(held: DataFrame, labels: DataFrame, subspaces: Subspaces) -> DataFrame:
     """One synchronous step of move_boundary and the states of the new clusters, in the tasks that have the series.
 
@@ -370,15 +382,15 @@ def boundary_round(held: DataFrame, labels: DataFrame, subspaces: Subspaces) ->
         f, was = f[keep], was[keep]
         if not len(f):
             return empty
-        near = [label(np.asarray(n)) if len(n) else None for n in f["near"]]
+        at, others = _flat(f["near"])
+        others = label(others)
         x, cells = np.stack(f["x"].to_numpy()).astype(np.float64), f["cell_id"].to_numpy()
-        fresh, d = _boundary(x, was, [None if n is None else n[n >= 0].tolist() for n in near], subspaces)
-        block = int(f["block"].iloc[0])
-        rows = [(c, to, k, *[None] * 6) for c, to, k in zip(cells.tolist(), f["to"], fresh.tolist(), strict=True)]
+        fresh, d = _boundary(x, was, at[others >= 0], others[others >= 0], subspaces)
+        block, found = int(f["block"].iloc[0]), []
         for c in np.unique(fresh).tolist():
             own, moved = fresh == c, (fresh == c) & (fresh != was)
-            rows.append((None, None, *State.of(x[own], float(d[own].sum()), marks(cells[moved], fresh[moved])).row(c, block)))
-        return pd.DataFrame(rows, columns=["cell_id", "to", *_COLUMNS], dtype=object)
+            found.append(State.of(x[own], float(d[own].sum()), marks(cells[moved], fresh[moved])).row(c, block))
+        return _round_rows(cells, f["to"], fresh, found)
 
     return _sent(labels).groupBy("at").cogroup(held.groupBy("block")).applyInPandas(run, _ROUND)
 
@@ -432,9 +444,8 @@ def smooth_round(held: DataFrame, labels: DataFrame) -> DataFrame:
             return no_rows("cell_id", "to", *_COLUMNS)
         x, cells = np.stack(f["x"].to_numpy()).astype(np.float64), f["cell_id"].to_numpy()
         fresh, block = _voted(label(cells), list(f["near"]), list(f["w"]), label), int(f["block"].iloc[0])
-        rows = [(c, to, k, *[None] * 6) for c, to, k in zip(cells.tolist(), f["to"], fresh.tolist(), strict=True)]
-        rows += [(None, None, *State.of(x[fresh == c], 0.0, marks(cells[fresh == c], fresh[fresh == c])).row(c, block)) for c in np.unique(fresh).tolist()]
-        return pd.DataFrame(rows, columns=["cell_id", "to", *_COLUMNS], dtype=object)
+        found = [State.of(x[fresh == c], 0.0, marks(cells[fresh == c], fresh[fresh == c])).row(c, block) for c in np.unique(fresh).tolist()]
+        return _round_rows(cells, f["to"], fresh, found)
 
     return _sent(labels).groupBy("at").cogroup(held.groupBy("block")).applyInPandas(run, _ROUND)
 

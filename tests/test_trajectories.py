@@ -1,6 +1,7 @@
 """Whole loops against the same loops in NumPy, and what a round costs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from fieldloom.config import STRATEGIES
@@ -191,3 +192,21 @@ def test_states_of_few_cells_hold_series(spark):
     assert one.held.shape == (9, 12) and one.gram == pytest.approx(x[:9].T @ x[:9])
     one.add(lowrank.State.of(x[9:]))
     assert one.held.shape == (12, 12) and one.gram == pytest.approx(x.T @ x)
+
+
+def test_boundary_goes_by_whole_columns():
+    rng = np.random.default_rng(3)
+    spaces = lowrank.Subspaces.__new__(lowrank.Subspaces)
+    spaces.ids, spaces.means, spaces.bases = np.array([1, 4, 7]), list(rng.normal(size=(3, 5))), [np.linalg.qr(rng.normal(size=(5, 2)))[0].T for _ in range(3)]
+    x, labels = rng.normal(size=(200, 5)), rng.choice(spaces.ids, 200)
+    near = [None if i % 9 == 0 else rng.choice([1, 4, 7, 9], i % 5) for i in range(200)]
+    to, d = lowrank._boundary(x, labels, *lowrank._flat(near), spaces)
+    every = spaces.distances(x)
+    for i in range(200):
+        own = int(np.searchsorted(spaces.ids, labels[i]))
+        others = sorted({k for k, c in enumerate(spaces.ids) if k != own and near[i] is not None and c in near[i]}, key=lambda k: (every[i, k], k))
+        want = others[0] if others and every[i, others[0]] < every[i, own] else own
+        assert to[i] == spaces.ids[want] and d[i] == every[i, want]
+    rows = lowrank._round_rows(np.array([2**60 + 1, 3]), pd.Series([np.array([0]), np.array([0, 1])]), np.array([4, 7]), [lowrank.State.of(x[:2], 0.5, -(2**62) - 1).row(4, 0)])
+    assert rows["cell_id"].iloc[0] == 2**60 + 1 and rows["cell_id"].isna().tolist() == [False, False, True]
+    assert rows["mark"].iloc[2] == -(2**62) - 1 and rows["to"].iloc[2] is None and rows["s"].iloc[0] is None
