@@ -230,3 +230,43 @@ def test_cells_travel_a_bounded_number_of_times(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got["n"] == got["k"] == n * (n - 1) // 2
     assert got["low"] == 1 and got["off"] < 1e-6
+
+
+@pytest.mark.parametrize("keys", [1 << 24, 2000])
+def test_rounded_pairs_are_whole_and_leave_in_the_order_of_distances(spark, monkeypatch, keys):
+    """Also in several ranges of distances, with distances too long for a key, and with none."""
+    monkeypatch.setattr(pairs, "KEYS", keys)
+    monkeypatch.setattr(pairs, "STRIP", 500)
+    x = np.random.default_rng(2).normal(size=(150, 3))
+    x[7], x[8] = x[6], 1e13
+    series = spark.createDataFrame([(1000 - k, float(k % 90), float(k), v) for k, v in enumerate(x.tolist())], "cell_id long, latitude double, longitude double, x array<double>")
+    plain = {(r["i"], r["j"]): r["d"] for r in pairs.all_pairs(series, "euclidean", block=60).collect()}
+    found = pairs.all_pairs(series, "euclidean", block=60, digits=2)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len({r[:2] for r in got}) == 150 * 149 // 2
+    assert all(i < j and d == pytest.approx(plain[i, j], abs=0.00501, rel=1e-12) for i, j, d in got)
+    for part in found.rdd.glom().collect():  # one pair of blocks each
+        d = [r["d"] for r in part if r["d"] < 1e9]
+        assert d and d == sorted(d)
+    flat = spark.createDataFrame([(k, 0.0, 0.0, [1.0, 1.0]) for k in range(5)], series.schema)
+    assert pairs.all_pairs(flat, "spatiotemporal", digits=6).count() == 0
+
+
+def test_rounding_is_that_of_sql():
+    import duckdb
+
+    d = np.array([0.0, 0.1234565, 2.5, 0.0000005, 0.00000049999999999999994, 1.0000015, 12.3456785, 1e300, -0.0000015])
+    want = duckdb.sql(f"SELECT round(x, 6) FROM (SELECT unnest({d.tolist()}::DOUBLE[]) AS x)").fetchall()
+    with np.errstate(over="ignore"):
+        assert (pairs.rounded(d, 6) / 1e6)[:7].tolist() == [w[0] for w in want][:7]
+        assert pairs.rounded(d, 6)[8] / 1e6 == want[8][0]
+
+
+def test_sorted_pairs_take_less_room(spark, tmp_path):
+    """A few bytes a pair, as Parquet, instead of the eight of a double."""
+    import os
+
+    x = np.random.default_rng(4).normal(size=(2000, 8))
+    series = spark.createDataFrame([(k, 0.0, 0.0, v) for k, v in enumerate(x.tolist())], "cell_id long, latitude double, longitude double, x array<double>")
+    pairs.all_pairs(series, "euclidean", digits=4).write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in os.scandir(tmp_path / "pairs") if f.name.endswith(".parquet")) < 6 * 2000 * 1999 / 2
