@@ -42,3 +42,25 @@ def test_no_table_has_a_row_for_two_cells(spark, monkeypatch):
     monkeypatch.setattr(linkage, "stored", lambda frame: (out := stored(frame), seen.append(out.count()))[0])
     linkage.upgma_merges(cells_of(spark, 60), "euclidean", 10)
     assert max(seen) <= 60
+
+
+def test_clusters_look_again_only_where_their_nearest_is_lost(spark, monkeypatch):
+    """Cells in pairs far apart, one of which waits for a third round: after the first round only merged ones look, and those whose nearest has merged."""
+    asked, searched = [], linkage._searched
+    monkeypatch.setattr(linkage, "_searched", lambda rows, make, asking, blocks: (asked.append(asking), searched(rows, make, asking, blocks))[1])
+    at = [0.0, 1.0, 10.0, 12.0, 100.0, 101.0, 1000.0, 2000.0, 5000.0]
+    series = spark.createDataFrame([(k, 0.0, 0.0, [x, 0.0]) for k, x in enumerate(at)], "cell_id long, latitude double, longitude double, x array<double>")
+    merges = sorted(tuple(r) for r in linkage.upgma_merges(series, "euclidean", 1).collect())
+    assert [m[1:] for m in merges[:4]] == [(0, 1), (4, 5), (2, 3), (0, 2)] and len(merges) == 8
+    assert asked[0] == 9 and all(n < 9 for n in asked[1:3])
+
+
+def test_places_shared_by_many_cells_give_the_same_distances():
+    rng = np.random.default_rng(1)
+    cells = (np.repeat(rng.uniform(-500, 500, 6), 20), np.tile(rng.uniform(-180, 180, 4), 30), rng.normal(size=(120, 5)))
+    m = metric("spatiotemporal")
+    assert m.table(m.ready(cells), m.ready(cells)) is not None
+    assert m.tiles(cells, cells)(slice(7, 90), slice(0, 120)) == pytest.approx(m.block(cells, cells)[7:90], abs=1e-12)
+    x = rng.normal(size=(40, 7))
+    x[3, 2] = np.nan
+    assert linkage._added(x, np.array([1, 4, 5, 30])) == pytest.approx(np.add.reduceat(x, [0, 1, 5, 10], axis=0), nan_ok=True)
