@@ -64,3 +64,13 @@ def test_places_shared_by_many_cells_give_the_same_distances():
     x = rng.normal(size=(40, 7))
     x[3, 2] = np.nan
     assert linkage._added(x, np.array([1, 4, 5, 30])) == pytest.approx(np.add.reduceat(x, [0, 1, 5, 10], axis=0), nan_ok=True)
+
+
+def test_ward_looks_again_only_where_the_nearest_is_lost(spark, monkeypatch):
+    asked, searched = [], linkage._searched
+    monkeypatch.setattr(linkage, "_searched", lambda rows, make, asking, blocks: (asked.append((asking, rows.count())), searched(rows, make, asking, blocks))[1])
+    at = [0.0, 1.0, 100.0, 104.0, 109.5, 1000.0, 2000.0]
+    series = spark.createDataFrame([(k, 0.0, 0.0, [x, 0.0]) for k, x in enumerate(at)], "cell_id long, latitude double, longitude double, x array<double>")
+    merges = sorted(tuple(r) for r in linkage.ward_merges(series, 3).collect())
+    assert merges[0] == (0.5, 0, 1) and merges[1] == (8.0, 2, 3) and merges[2] == (pytest.approx(2 / 3 * 7.5**2), 2, 4) and len(merges) == 6
+    assert asked[0] == (7, 7) and asked[1][0] < asked[1][1]
